@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import documents
 from .exact import exact_groups
+from .mixing import mix
+from .packing import pack
 from .sharding import shard
 
 
@@ -11,15 +13,20 @@ def op1_minimax_shards(spark, sf_dir):
     return shard(documents(spark, sf_dir), shards=24)
 
 
+def op7_tier_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
+
+
+def op8_sainte_lague_mix(spark, sf_dir):
+    return mix(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
 
 def queries():
-    return {
-        "op1_minimax_shards": op1_minimax_shards,
-        "op10_exact_dedup": op10_exact_dedup,
-    }
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
