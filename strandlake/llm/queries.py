@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .common import documents
 from .exact import exact_groups
+from .media import text_media
 from .mixing import mix
 from .packing import pack
+from .quality import score_quality, train as train_quality
 from .sharding import shard
 
 
@@ -13,6 +15,10 @@ def op1_minimax_shards(spark, sf_dir):
     return shard(documents(spark, sf_dir), shards=24)
 
 
+def op4_netpbm_media(spark, sf_dir):
+    return text_media(documents(spark, sf_dir))
+
+
 def op7_tier_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
@@ -21,6 +27,11 @@ def op8_sainte_lague_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+def op9_quality_trees(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, train_quality(docs, documents(spark, sf_dir, "labels")))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
