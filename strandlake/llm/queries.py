@@ -9,6 +9,7 @@ from .mixing import mix
 from .packing import pack
 from .quality import score_quality, train as train_quality
 from .sharding import shard
+from .toxicity import score_toxicity, train as train_toxicity
 
 
 def op1_minimax_shards(spark, sf_dir):
@@ -19,6 +20,11 @@ def op4_netpbm_media(spark, sf_dir):
     return text_media(documents(spark, sf_dir))
 
 
+def op5_toxicity_gru(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, train_toxicity(docs, documents(spark, sf_dir, "labels")))
+
+
 def op7_tier_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
