@@ -7,6 +7,7 @@ from .exact import exact_groups
 from .media import text_media
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii
 from .quality import score_quality, train as train_quality
 from .sharding import shard
 from .toxicity import score_toxicity, train as train_toxicity
@@ -16,6 +17,10 @@ def op1_minimax_shards(spark, sf_dir):
     return shard(documents(spark, sf_dir), shards=24)
 
 
+def op2_disclosure_pii(spark, sf_dir):
+    return find_pii(documents(spark, sf_dir))
+
+
 def op4_netpbm_media(spark, sf_dir):
     return text_media(documents(spark, sf_dir))
 
