@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .exact import exact_groups
 from .media import text_media
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
@@ -21,6 +22,10 @@ def op2_disclosure_pii(spark, sf_dir):
     return find_pii(documents(spark, sf_dir))
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 def op4_netpbm_media(spark, sf_dir):
     return text_media(documents(spark, sf_dir))
 
