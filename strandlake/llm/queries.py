@@ -11,6 +11,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality import score_quality, train as train_quality
 from .sharding import shard
+from .substring import remove_repeats
 from .toxicity import score_toxicity, train as train_toxicity
 
 
@@ -35,6 +36,10 @@ def op5_toxicity_gru(spark, sf_dir):
     return score_toxicity(docs, train_toxicity(docs, documents(spark, sf_dir, "labels")))
 
 
+def op6_suffix_tree_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir), window=35)
+
+
 def op7_tier_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
