@@ -104,3 +104,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             (F.col("passes") * F.col("size") + overlap(F.col("from1"), F.col("to1")) + overlap(F.lit(0), F.col("to2"))).cast("long").alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, to the nearest whole copy; documents without
+    words, of which a mix in words takes nothing, stay as they are."""
+    taken = mix(docs, id_col, text_col, source_col)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).cast("int")
+    copies = taken.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), times.alias("__times"))
+    # rows that repeat an id and a size share the copies that the mix gave them
+    copies = copies.groupBy("__id", "__size").agg(F.max("__times").alias("__times")).filter("__times > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
+    return (
+        docs.join(copies, docs[id_col].eqNullSafe(copies["__id"]) & (size == F.col("__size")))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Slice, slices, text_or_empty
-from .labelled import held_out, labelled_sample
+from .labelled import class_counts, held_out, labelled_sample
 
 TRAIN_PER_CLASS = 2000
 TRAIN_BYTES = 48 << 20
@@ -255,7 +255,7 @@ def sketch(p: Parsed) -> np.ndarray:
     return low
 
 
-def fit(pieces: list[Slice], labels: list[np.ndarray], steps: int = 1000, batch: int = 128, seed: int = 5) -> Model:
+def fit(pieces: list[Slice], labels: list[np.ndarray], counts: tuple[int, int] = (1, 1), steps: int = 1000, batch: int = 128, seed: int = 5) -> Model:
     network = Network(seed)
     every = np.concatenate(labels) if labels else np.zeros(0)
     if len(np.unique(every)) < 2:
@@ -303,11 +303,12 @@ def fit(pieces: list[Slice], labels: list[np.ndarray], steps: int = 1000, batch:
             m += 0.1 * (grad - m)
             v += 0.01 * (grad**2 - v)
             network.w[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    # the maximum over a document's windows is calibrated on all windows of the sample
+    # the maximum over a document's windows is calibrated on all windows of the sample, at the classes' true rates
     logit = np.concatenate([network.document_logits(x, first) for x, first, _ in held])[single]
     every = every[single]
-    for _ in range(200):
-        e = (_sigmoid(logit * network.scale + network.shift) - every) * np.where(every == 1, 0.5 / max(every.mean(), 1e-6), 0.5 / max(1 - every.mean(), 1e-6))
+    rates = np.array(counts) / max(1, sum(counts)) / np.maximum([(every == 0).mean(), (every == 1).mean()], 1e-6)
+    for _ in range(300):
+        e = (_sigmoid(logit * network.scale + network.shift) - every) * rates[every.astype(int)]
         network.scale = max(0.1, network.scale - 0.2 * (e * logit).mean())
         network.shift -= 0.2 * e.mean()
     return Model(LogOdds(LogOdds.count(parsed, labels, use)), network)
@@ -322,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if rows is None or not len(rows):
         return Model(None, Network())
     pieces = list(slices(pa.Table.from_pandas(rows[["id", "text", "y"]], preserve_index=False).to_batches()))
-    return fit(pieces, [p.column("y").astype(np.int64) for p in pieces])
+    return fit(pieces, [p.column("y").astype(np.int64) for p in pieces], class_counts(labels, label, id_col))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -337,3 +338,15 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = sent.value
+        for piece in slices(batches, text_col):
+            yield piece.batch.filter(pa.array(own.score(piece) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
