@@ -6,11 +6,12 @@
    ``LEAST_SHARED`` of the 32 smallest values of its union but for a chance of about 2e-9; so each node is
    listed under its ``SKETCH - LEAST_SHARED + 1`` rarest values only, and values that very many
    documents share drop out.  Sets smaller than the sketch are listed and compared exactly.
-3. Lists are not expanded into pairs.  First every member meets the list's most central member, then
-   the most central one outside that one's component; only members that are still in different
-   components meet, in blocks of bounded size where the list is long.
-4. Union-sketch estimates filter candidates and exact Jaccard on full sets, made again from whole
-   texts, verifies them.  Components are those of the verified links.
+3. Lists are not expanded into pairs.  First every member meets the list's most central member;
+   union-sketch estimates filter these pairs and exact Jaccard on full sets verifies them.
+4. Lists whose members are then still in different components are read in blocks of bounded size;
+   members that share enough sketch values with one of another component go to tiles of at most
+   ``TILE`` documents a side, where exact intersections of all full sets are one matrix product.
+   A tile gives a spanning forest of its links.  Full sets are made again from whole texts.
 
 Null and empty texts have empty sets and link with nothing.  Rows that repeat an id count one by one.
 """
@@ -27,8 +28,8 @@ from .components import connected_components
 
 SKETCH = 32
 LEAST_SHARED = 10
-SMALL_LIST = 48
-BLOCK = 128
+BLOCK = 1024
+TILE = 256
 FAN = 256
 
 
@@ -106,26 +107,135 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _blocks(batches):
-    """Members of one list in two blocks: pairs across components that share enough sketch values."""
-    for pdf in batches:
-        left, right = pdf[pdf["lot"] == pdf["i"]], pdf[pdf["lot"] == pdf["j"]]
-        values, index = np.unique(np.concatenate([np.concatenate(s.to_numpy()) if len(s) else np.zeros(0, np.int64) for s in (left["sketch"], right["sketch"])]), return_inverse=True)
-        if not len(left) or not len(right):
-            continue
-        held = []
-        for side in (left, right):
-            sizes = side["sketch"].map(len).to_numpy()
-            m = np.zeros((len(side), len(values)), np.float32)
-            m[np.repeat(np.arange(len(side)), sizes), index[: sizes.sum()]] = 1
-            index = index[sizes.sum() :]
-            held.append(m)
-        shared = held[0] @ held[1].T
-        least = np.minimum(LEAST_SHARED, np.ceil(0.8 * np.maximum(held[0].sum(1)[:, None], held[1].sum(1)[None, :])))
-        ok = (shared >= least) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+def _groups(batches, keys: list[str], columns: list[str]):
+    """Runs of rows with equal keys, as lists by column; input in order of the keys."""
+    at, held = None, [[] for _ in columns]
+    for batch in batches:
+        have = batch.num_rows
+        lists = [batch.column(c).to_pylist() for c in (*keys, *columns)]
+        for row in range(have):
+            key = tuple(x[row] for x in lists[: len(keys)])
+            if key != at:
+                if at is not None:
+                    yield at, held
+                at, held = key, [[] for _ in columns]
+            for to, x in zip(held, lists[len(keys) :]):
+                to.append(x[row])
+    if at is not None:
+        yield at, held
+
+
+def _incidence(sets: list[np.ndarray], sides: np.ndarray):
+    """Row and column of every element, of columns that both sides hold."""
+    sizes = np.array([len(x) for x in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    values, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    left = np.bincount(columns[(sides[rows] & 1) > 0], minlength=len(values))
+    right = np.bincount(columns[(sides[rows] & 2) > 0], minlength=len(values))
+    some = np.bincount(columns, minlength=len(values))
+    both = (left > 0) & (right > 0) & (some > 1)
+    order = np.cumsum(both) - 1
+    keep = both[columns]
+    return rows[keep], order[columns[keep]], int(both.sum())
+
+
+def intersections(sets: list[np.ndarray], sides: np.ndarray, wide: int = 4096) -> np.ndarray:
+    """Sizes of all intersections; sides 1 and 2 need not meet themselves, 3 is in both."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    rows, columns, n = _incidence(sets, sides)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for k in range(0, n, wide):
+        part = slice(*np.searchsorted(columns, [k, k + wide]))
+        m = np.zeros((len(sets), min(wide, n - k)), np.float32)
+        m[rows[part], columns[part] - k] = 1
+        out += m @ m.T
+    return out
+
+
+def _meet(batches):
+    """Blocks of one list: which members share enough sketch values with one of another component."""
+    out: list[tuple[int, int, int]] = []
+    for (_, i, j), (lot, nid, label, bucket, sketch) in _groups(batches, ["value", "i", "j"], ["lot", "nid", "label", "bucket", "sketch"]):
+        lot, label = np.array(lot), np.array(label)
+        sides = (lot == i) * 1 + (lot == j) * 2
+        sets = [np.unique(np.array(x, np.int64)) for x in sketch]
+        sizes = np.array([len(x) for x in sets])
+        least = np.minimum(LEAST_SHARED, np.ceil(0.8 * sizes)).astype(np.float32)
+        least = np.maximum(least[:, None], least[None, :])
+        ok = (intersections(sets, sides) >= least) & (label[:, None] != label[None, :]) & ((sides[:, None] & 1) > 0) & ((sides[None, :] & 2) > 0)
         x, y = np.nonzero(ok)
-        a, b = left["nid"].to_numpy()[x], right["nid"].to_numpy()[y]
-        yield pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).to_pandas()
+        nid = np.array(nid, np.int64)
+        names, bucket = np.unique(np.array(bucket, np.int64), return_inverse=True)
+        low, high, m = np.minimum(bucket[x], bucket[y]), np.maximum(bucket[x], bucket[y]), len(sets)
+        code = np.unique(np.concatenate([(low * m + high) * m + x, (low * m + high) * m + y]))
+        ta, tb = names[code // m // m], names[code // m % m]
+        out += zip(np.minimum(ta, tb).tolist(), np.maximum(ta, tb).tolist(), nid[code % m].tolist())
+        if len(out) > 20000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ta", "tb", "nid"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ta", "tb", "nid"])
+
+
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    fresh, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        stack = [root]
+        while stack:
+            at = stack.pop()
+            near = np.flatnonzero(linked[at] & fresh)
+            fresh[near] = False
+            out += [(at, k) for k in near.tolist()]
+            stack += near.tolist()
+    return out
+
+
+def _tiles(width: int, percent: int):
+    """Texts in order of their tile: exact links among all of a tile's documents."""
+
+    def sets_of(batches):
+        for piece in slices(batches):
+            sets = shingle_sets(piece, width)
+            same = [_fingerprint(s) == f for s, f in zip(sets, zip(piece.batch.column("f1").to_pylist(), piece.batch.column("f2").to_pylist()))]
+            where = [k for k, ok in enumerate(same) if ok]
+            yield piece.batch.select(["ta", "tb", "nid"]), [sets[k] for k in where], where
+
+    def run(batches):
+        at, nids, held = None, [], []
+
+        def settle():
+            if len(held) < 2:
+                return None
+            sizes = np.array([len(x) for x in held])
+            both = intersections(held, np.full(len(held), 3))
+            linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+            np.fill_diagonal(linked, False)
+            edges = spanning_links(linked)
+            if not edges:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array([nids[a] for a, _ in edges], pa.int64()), pa.array([nids[b] for _, b in edges], pa.int64())], names=["a", "b"])
+
+        for rows, sets, where in sets_of(batches):
+            ta, tb, nid = (rows.column(k).to_pylist() for k in range(3))
+            for s, k in zip(sets, where):
+                if (ta[k], tb[k]) != at:
+                    done = settle()
+                    if done is not None:
+                        yield done
+                    at, nids, held = (ta[k], tb[k]), [], []
+                if nid[k] not in nids[-1:]:
+                    nids.append(nid[k])
+                    held.append(s)
+        done = settle()
+        if done is not None:
+            yield done
+
+    return run
 
 
 class NearDuplicates:
@@ -175,53 +285,37 @@ class NearDuplicates:
         ordered = full.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "role")
         return materialize(ordered.mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
 
-    @staticmethod
-    def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return lists.withColumn("label", F.col("nid"))
-        return lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-
-    def _stars(self, lists: DataFrame, second: bool) -> DataFrame:
-        """Each list's members against its most central member (or the most central one of another component)."""
-        top = lists.groupBy("value").agg(F.max(F.struct("score", "nid", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        if second:
-            rest = lists.join(top, "value").filter("label != top.label")
-            top = rest.groupBy("value").agg(F.max(F.struct("score", "nid", "label")).alias("top"))
-        met = lists.join(top.select("value", F.col("top.nid").alias("hub"), F.col("top.label").alias("hub_label")), "value").filter("label != hub_label")
-        return met.select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
+    def _stars(self, lists: DataFrame) -> DataFrame:
+        """Each list's members against its most central member."""
+        top = lists.groupBy("value").agg(F.max(F.struct("score", "nid")).alias("top"), F.count("*").alias("m")).filter("m > 1")
+        met = lists.join(top.select("value", F.col("top.nid").alias("a")), "value").filter("nid != a")
+        return met.select("a", F.col("nid").alias("b")).distinct()
 
     def _rest(self, lists: DataFrame) -> DataFrame:
-        """Pairs of members that are still in different components."""
+        """Links between members of a list that are still in different components."""
         open_ = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("value", "m")
         open_ = materialize(lists.join(open_, "value"), "open")
-        small = open_.filter(F.col("m") <= SMALL_LIST).select("value", "nid", "label")
-        other = small.select("value", F.col("nid").alias("nid2"), F.col("label").alias("label2"))
-        pairs = small.join(other, "value").filter("label != label2 and nid < nid2").select(F.col("nid").alias("a"), F.col("nid2").alias("b"))
+        home = open_.groupBy("nid").agg(F.max(F.struct("m", "value")).alias("home"))
+        bucket = F.xxhash64("home.value", F.pmod(F.xxhash64("nid"), F.ceil(F.col("home.m") / TILE)))
+        known = home.select("nid", bucket.alias("bucket")).join(self.nodes.select("nid", "sketch"), "nid")
         lots = F.ceil(F.col("m") / BLOCK)
-        large = (
-            open_.filter(F.col("m") > SMALL_LIST).withColumn("lot", F.pmod(F.xxhash64("nid"), lots)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)))
-            .select("value", F.least("lot", "with").alias("i"), F.greatest("lot", "with").alias("j"), "lot", "nid", "label").join(self.nodes.select("nid", "sketch"), "nid")
+        rows = (
+            open_.withColumn("lot", F.pmod(F.xxhash64(F.lit(3), "nid"), lots)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)))
+            .select("value", F.least("lot", "with").alias("i"), F.greatest("lot", "with").alias("j"), "lot", "nid", "label").join(known, "nid")
         )
-        blocks = large.groupBy("value", "i", "j").applyInPandas(lambda pdf: next(iter(_blocks([pdf])), pdf.head(0)[["nid", "label"]].set_axis(["a", "b"], axis=1)), "a long, b long")
-        return pairs.union(blocks).distinct()
+        n = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = rows.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_meet, "ta long, tb long, nid long").distinct()
+        full = met.join(self.nodes.select("nid", "rep", "f1", "f2"), "nid").join(self.texts, F.col("rep") == F.col("id")).select("ta", "tb", "nid", "f1", "f2", "text")
+        tiled = full.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb", "nid")
+        return materialize(tiled.mapInArrow(_tiles(self.width, self.percent), "a long, b long"), "links")
 
     def components(self) -> DataFrame:
-        """(nid, label) of the nodes that have links."""
+        """(node, label) of the nodes that have links."""
         lists = self.lists()
-        first = self._stars(self._labelled(lists, None), second=False)
-        first = materialize(first, "first")
-        links = self._links(first)
-        labels = connected_components(links)
-        marked = materialize(self._labelled(lists, labels), "marked")
-        second = materialize(self._stars(marked, second=True).join(first, ["a", "b"], "left_anti"), "second")
-        more = self._links(second)
-        links = links.union(more)
-        labels = connected_components(links)
-        marked = self._labelled(lists, labels)
-        seen = first.union(second)
-        seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self._rest(marked).join(seen, ["a", "b"], "left_anti")
-        return connected_components(links.union(self._links(rest)))
+        links = self._links(self._stars(lists))
+        labels = connected_components(links).withColumnRenamed("node", "nid")
+        marked = materialize(lists.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")), "marked")
+        return connected_components(links.union(self._rest(marked)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,10 +327,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(lowest, "label").select("f1", "f2", "component_id")
     found = work.rows.filter("n > 0").select("id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("id", "n", "component_id")
     alone = work.rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
     kept = near_duplicates(docs, id_col, text_col, width, percent).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")

@@ -38,6 +38,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _COUNT_LIMIT = 400_000
+BROADCAST_TERMS = 500_000
 
 
 def _luhn(digits: str) -> bool:
@@ -157,8 +158,8 @@ def _word_ids(piece) -> np.ndarray:
     return piece.word_hashes(starts, ends).view(np.int64)
 
 
-def _count(batches):
-    """Documents by term, totalled in memory-sized parts."""
+def _count(wanted, batches):
+    """Documents by term, totalled in memory-sized parts; of the sorted ``wanted`` terms if given."""
     terms, numbers, held = [], [], 0
 
     def total():
@@ -174,6 +175,11 @@ def _count(batches):
             continue
         h = piece.word_hashes(starts, ends).view(np.int64)
         of = np.repeat(np.arange(piece.n), np.diff(first))
+        if wanted is not None:
+            known = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+            h, of = h[known], of[known]
+            if not len(h):
+                continue
         order = np.lexsort((of, h))
         h, of = h[order], of[order]
         new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
@@ -201,8 +207,15 @@ def disclosing(found: DataFrame, texts: DataFrame, total: int, disclosure: float
     # fewer than this many joint documents can't reach the threshold
     least = disclosure / (1 - disclosure) if disclosure < 1 else float("inf")
     likely = together.filter(F.col("together") >= F.lit(least - 1e-9))
-    counts = texts.mapInArrow(_count, "term long, n long")
-    wanted = counts.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("documents"))
+    likely = materialize(likely, "likely")
+    terms = likely.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).toPandas()["term"].to_numpy(np.int64)
+    if len(few) <= BROADCAST_TERMS:  # 8 bytes each; more are joined
+        sent = texts.sparkSession.sparkContext.broadcast(np.sort(few))
+        wanted = texts.mapInArrow(lambda batches: _count(sent.value, batches), "term long, n long")
+    else:
+        wanted = texts.mapInArrow(lambda batches: _count(None, batches), "term long, n long").join(terms, "term", "left_semi")
+    wanted = wanted.groupBy("term").agg(F.sum("n").alias("documents"))
     given = F.col("together") / (F.col("documents") + 1)
     return (
         likely.join(wanted, "term").join(entities, "entity")
