@@ -3,9 +3,10 @@
 1. A document's set of distinct word shingles gives its size, a 128-bit fingerprint and its ``SKETCH``
    smallest hashes.  Documents with equal sets become one node.
 2. Inverted lists of retained values generate candidates.  A pair at similarity 0.8 shares at least
-   ``LEAST_SHARED`` of the 32 smallest values of its union but for a chance of about 2e-9; so each node is
-   listed under its ``SKETCH - LEAST_SHARED + 1`` rarest values only, and values that very many
-   documents share drop out.  Sets smaller than the sketch are listed and compared exactly.
+   ``LEAST_LISTED`` of the 32 smallest values of its union but for a chance of about 2e-9; so each node is
+   listed under its ``LISTED - LEAST_LISTED + 1`` rarest of these only, and values that very many
+   documents share drop out.  The estimate has ``SKETCH`` values, of 32 bits, and asks for ``LEAST_SHARED``, at
+   about the same chance.  Sets smaller than the sketch are listed and compared exactly.
 3. Lists are not expanded into pairs.  First every member meets the list's most central member;
    union-sketch estimates filter these pairs and exact Jaccard on full sets verifies them.
 4. Lists whose members are then still in different components are read in blocks of bounded size;
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Slice, _splitmix, materialize, slices, text_or_empty
+from .common import Slice, _splitmix, blobs, materialize, slices, text_or_empty
 from .components import connected_components
 
-SKETCH = 32
-LEAST_SHARED = 10
+LISTED, LEAST_LISTED = 32, 10
+SKETCH, LEAST_SHARED = 64, 28
 BLOCK = 1024
 TILE = 256
 FAN = 256
@@ -75,9 +76,10 @@ def _profile(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()), pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
+                    pa.array([p[1] for p in prints], pa.int64()), pa.array([s[:LISTED] for s in sets], pa.list_(pa.int64())),
+                    pa.array([(s[:SKETCH] >> 32).astype(np.int32) for s in sets], pa.list_(pa.int32())),
                 ],
-                names=["id", "n", "f1", "f2", "sketch"],
+                names=["id", "n", "f1", "f2", "listed", "sketch"],
             )
 
     return run
@@ -155,7 +157,6 @@ def intersections(sets: list[np.ndarray], sides: np.ndarray, wide: int = 4096) -
 
 def _meet(batches):
     """Blocks of one list: which members share enough sketch values with one of another component."""
-    out: list[tuple[int, int, int]] = []
     for (_, i, j), (lot, nid, label, bucket, sketch) in _groups(batches, ["value", "i", "j"], ["lot", "nid", "label", "bucket", "sketch"]):
         lot, label = np.array(lot), np.array(label)
         sides = (lot == i) * 1 + (lot == j) * 2
@@ -169,13 +170,18 @@ def _meet(batches):
         names, bucket = np.unique(np.array(bucket, np.int64), return_inverse=True)
         low, high, m = np.minimum(bucket[x], bucket[y]), np.maximum(bucket[x], bucket[y]), len(sets)
         code = np.unique(np.concatenate([(low * m + high) * m + x, (low * m + high) * m + y]))
-        ta, tb = names[code // m // m], names[code // m % m]
-        out += zip(np.minimum(ta, tb).tolist(), np.maximum(ta, tb).tolist(), nid[code % m].tolist())
-        if len(out) > 20000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ta", "tb", "nid"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ta", "tb", "nid"])
+        tile = code // m
+        cuts = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile)) if len(tile) else np.zeros(1, np.int64)
+        ta, tb = names[tile[cuts[:-1]] // m], names[tile[cuts[:-1]] % m]
+        if len(ta):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ta, tb)), pa.array(np.maximum(ta, tb)), blobs(nid[code % m], cuts)], names=["ta", "tb", "nids"])
+
+
+def _members(batches):
+    """Tiles with their documents, each once; input in order of tiles."""
+    for (ta, tb), (nids,) in _groups(batches, ["ta", "tb"], ["nids"]):
+        nid = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in nids]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), ta)), pa.array(np.full(len(nid), tb)), pa.array(nid)], names=["ta", "tb", "nid"])
 
 
 def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -244,17 +250,17 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80):
         self.width, self.percent = width, percent
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        self.rows = materialize(self.texts.mapInArrow(_profile(width), "id long, n long, f1 long, f2 long, sketch array<long>"), "profiles")
-        nodes = self.rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        self.rows = materialize(self.texts.mapInArrow(_profile(width), "id long, n long, f1 long, f2 long, listed array<long>, sketch array<int>"), "profiles")
+        nodes = self.rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("listed").alias("listed"), F.first("sketch").alias("sketch"))
         self.nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     def lists(self) -> DataFrame:
         """(value, nid, score): nodes under their rarest shared values; score tells central members."""
-        values = self.nodes.select("nid", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+        values = self.nodes.select("nid", "n", F.size("listed").alias("k"), F.explode("listed").alias("value"))
         shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
         own = Window.partitionBy("nid")
         # sets of up to 25 shingles: they and their partners are in their sketches whole
-        quota = F.when(F.col("n") <= 25, F.col("k") - F.ceil(F.col("n") * 0.8) + 1).otherwise(F.col("k") - LEAST_SHARED + 1)
+        quota = F.when(F.col("n") <= 25, F.col("k") - F.ceil(F.col("n") * 0.8) + 1).otherwise(F.col("k") - LEAST_LISTED + 1)
         listed = (
             values.join(shared, "value")
             .withColumn("rank", F.row_number().over(own.orderBy("df", "value")) + F.col("k") - F.count("*").over(own))
@@ -304,7 +310,8 @@ class NearDuplicates:
             .select("value", F.least("lot", "with").alias("i"), F.greatest("lot", "with").alias("j"), "lot", "nid", "label").join(known, "nid")
         )
         n = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met = rows.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_meet, "ta long, tb long, nid long").distinct()
+        met = rows.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_meet, "ta long, tb long, nids binary")
+        met = met.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(_members, "ta long, tb long, nid long")
         full = met.join(self.nodes.select("nid", "rep", "f1", "f2"), "nid").join(self.texts, F.col("rep") == F.col("id")).select("ta", "tb", "nid", "f1", "f2", "text")
         tiled = full.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb", "nid")
         return materialize(tiled.mapInArrow(_tiles(self.width, self.percent), "a long, b long"), "links")
