@@ -20,9 +20,11 @@ Rows that repeat id and text count as two places.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,21 @@ def _split(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(many), np.sort(order[cuts[:-1]])
 
 
-_ENTRY = "part int, hashes binary, keys binary, places binary"
+_ENTRY = "slice long, part int, hashes binary, keys binary, places binary"
+_HITS = "slice long, keys binary, places binary"
 
 
-def _entries(part: np.ndarray, hashes: np.ndarray, keys: np.ndarray, places: np.ndarray):
-    """One row per part with its entries as packed arrays, in document order."""
+def _entries(slice_: int, part: np.ndarray, hashes: np.ndarray, keys: np.ndarray, places: np.ndarray):
+    """One row per part with a slice's entries as packed arrays, in document order."""
     order = np.argsort(part, kind="stable")
     cuts = _runs(part[order])
-    return [pa.array(part[order][cuts[:-1]], pa.int32()), blobs(hashes[order], cuts), blobs(keys[order], cuts), blobs(places[order].astype(np.int32), cuts)]
+    return [pa.array(np.full(len(cuts) - 1, slice_)), pa.array(part[order][cuts[:-1]], pa.int32()), blobs(hashes[order], cuts), blobs(keys[order], cuts), blobs(places[order].astype(np.int32), cuts)]
+
+
+def _local(slice_: int, keys: np.ndarray, places: np.ndarray):
+    """Repeats that were settled within a slice: part -1."""
+    cut = np.array([0, len(keys)])
+    return [pa.array([slice_]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), blobs(keys, cut), blobs(places.astype(np.int32), cut)]
 
 
 def _by_key(keys: np.ndarray, places: np.ndarray):
@@ -115,74 +124,102 @@ def _by_key(keys: np.ndarray, places: np.ndarray):
     return [pa.array(keys[order][cuts[:-1]], pa.int64()), blobs(places[order].astype(np.int32), cuts)]
 
 
-def _nulls(n: int, *kinds):
-    return [pa.nulls(n, k) for k in kinds]
+_SCAN = f"id long, key long, n_words long, sha string, {_ENTRY}, cells binary"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-_SCAN = f"id long, key long, n_words long, sha string, {_ENTRY}, hit_key long, hit_places binary, cells binary"
-_SCAN_NAMES = [c.split()[0] for c in _SCAN.split(", ")]
+def _rows(schema: str, at: int, columns: list) -> pa.RecordBatch:
+    """A batch whose columns from ``at`` on are given, and the others null."""
+    names = [c.split() for c in schema.split(", ")]
+    n = len(columns[0])
+    arrays = [columns[k - at] if at <= k < at + len(columns) else pa.nulls(n, _KINDS[kind]) for k, (_, kind) in enumerate(names)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in names])
 
 
 def _scan(window: int, parts: int):
     """First pass: per document its words; anchors by part; anchors that repeat here; counts of prefixes."""
 
     def run(batches):
+        slice_ = TaskContext.get().partitionId() << 24
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for piece in slices(batches):
             s = Suffixes(piece, window)
             keys = piece.column("key").astype(np.int64)
-            n = piece.n
-            sha = [hashlib.sha256(b" ".join(piece.bytes(i).split())).hexdigest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [piece.batch.column("id"), piece.batch.column("key"), pa.array(np.diff(s.first)), pa.array(sha),
-                 *_nulls(n, pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())], names=_SCAN_NAMES,
-            )
+            sha = [hashlib.sha256(b" ".join(piece.bytes(i).split())).hexdigest() for i in range(piece.n)]
+            yield _rows(_SCAN, 0, [piece.batch.column("id"), piece.batch.column("key"), pa.array(np.diff(s.first)), pa.array(sha)])
             if not len(s.valid):
                 continue
+            slice_ += 1
             at = s.anchors()
             cells += np.bincount(s.codes(s.valid) >> (28 - CELL_BITS), minlength=1 << CELL_BITS)
             h = s.grams[at]
             here, single = _split(h)
             doc = s.doc[at]
             place = at - s.first[doc]
-            sent = _entries((h[single] % np.uint64(parts)).astype(np.int32), h[single], keys[doc[single]], place[single])
-            k = len(sent[0])
-            yield pa.RecordBatch.from_arrays([*_nulls(k, pa.int64(), pa.int64(), pa.int64(), pa.string()), *sent, *_nulls(k, pa.int64(), pa.binary(), pa.binary())], names=_SCAN_NAMES)
+            yield _rows(_SCAN, 4, _entries(slice_, (h[single] % np.uint64(parts)).astype(np.int32), h[single], keys[doc[single]], place[single]))
             if len(here):
-                hit = _by_key(keys[doc[here]], place[here])
-                k = len(hit[0])
-                yield pa.RecordBatch.from_arrays([*_nulls(k, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), *hit, *_nulls(k, pa.binary())], names=_SCAN_NAMES)
-        yield pa.RecordBatch.from_arrays([*_nulls(1, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), pa.array([cells.tobytes()], pa.binary())], names=_SCAN_NAMES)
+                yield _rows(_SCAN, 4, _local(slice_, keys[doc[here]], place[here]))
+        yield _rows(_SCAN, 9, [pa.array([cells.tobytes()], pa.binary())])
 
     return run
 
 
 def _subtrees(batches):
-    """Entries of whole groups, one group after another: leaves of nodes with two leaves or more."""
+    """Entries of whole groups, one group after another: leaves of nodes with two leaves or more, by slice."""
     group, held = None, []
 
     def close():
         hashes, keys, places = (np.concatenate([np.frombuffer(e[k], t) for e in held]) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int32)))
+        of = np.repeat([e[3] for e in held], [len(e[0]) // 8 for e in held])
         many, _ = _split(hashes)
-        if len(many):
-            return pa.RecordBatch.from_arrays(_by_key(keys[many], places[many]), names=["hit_key", "hit_places"])
-        return None
+        if not len(many):
+            return None
+        many = many[np.argsort(of[many], kind="stable")]
+        cuts = _runs(of[many])
+        return pa.RecordBatch.from_arrays([pa.array(of[many][cuts[:-1]]), blobs(keys[many], cuts), blobs(places[many], cuts)], names=["slice", "keys", "places"])
 
     for batch in batches:
-        for part, h, k, p in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "keys", "places"))):
+        for part, *entry in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "keys", "places", "slice"))):
             if part != group and held:
                 out = close()
                 held = []
                 if out is not None:
                     yield out
             group = part
-            held.append((h, k, p))
+            held.append(entry)
     if held:
         out = close()
         if out is not None:
             yield out
 
 
+def _regroup(batches):
+    """Rows of whole slices, one slice after another: one row per document with its places."""
+    at, held = None, []
+
+    def close():
+        keys, places = (np.concatenate([np.frombuffer(e[k], t) for e in held]) for k, t in ((0, np.int64), (1, np.int32)))
+        return pa.RecordBatch.from_arrays(_by_key(keys, places), names=["hit_key", "hit_places"])
+
+    for batch in batches:
+        for slice_, *entry in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "places"))):
+            if slice_ != at and held:
+                yield close()
+                held = []
+            at = slice_
+            held.append(entry)
+    if held:
+        yield close()
+
+
+def _cells(batches):
+    """(cell, n) of the tasks' prefix counts."""
+    for batch in batches:
+        for data in batch.column("cells").to_pylist():
+            n = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["cell", "n"])
+
+
 def prefix_groups(cells: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """First group and number of groups of each prefix cell: small neighbours share one, large ones are
     extended by the words that follow."""
@@ -203,14 +240,14 @@ def prefix_groups(cells: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
     return first, fan
 
 
-_CANDIDATE = f"key long, text string, {_ENTRY}, hit_key long, hit_places binary"
-_CANDIDATE_NAMES = [c.split()[0] for c in _CANDIDATE.split(", ")]
+_CANDIDATE = f"key long, text string, {_ENTRY}"
 
 
 def _candidates(window: int, first_group: np.ndarray, fan: np.ndarray):
     """Second pass, over documents with repeated anchors: their suffixes by prefix group."""
 
     def run(batches):
+        slice_ = TaskContext.get().partitionId() << 24
         for piece in slices(batches):
             s = Suffixes(piece, window)
             keys = piece.column("key").astype(np.int64)
@@ -220,11 +257,10 @@ def _candidates(window: int, first_group: np.ndarray, fan: np.ndarray):
                     mark[s.first[i] + np.frombuffer(b, np.int32)] = True
             starts = s.valid[mark[s.anchor]]
             some = np.unique(s.doc[starts])
-            text = piece.batch.column("text").take(pa.array(some))
-            k = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), text, *_nulls(k, pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())], names=_CANDIDATE_NAMES)
+            yield _rows(_CANDIDATE, 0, [pa.array(keys[some]), piece.batch.column("text").take(pa.array(some)).cast(pa.string())])
             if not len(starts):
                 continue
+            slice_ += 1
             h = range_hashes(s.hash, starts, starts + window, _WORD_BASE)
             here, single = _split(h)
             doc = s.doc[starts]
@@ -232,13 +268,9 @@ def _candidates(window: int, first_group: np.ndarray, fan: np.ndarray):
             code = s.codes(starts[single])
             cell, rest = code >> (28 - CELL_BITS), code & ((1 << (28 - CELL_BITS)) - 1)
             part = first_group[cell] + (rest * fan[cell] >> (28 - CELL_BITS))
-            sent = _entries(part.astype(np.int32), h[single], keys[doc[single]], place[single])
-            k = len(sent[0])
-            yield pa.RecordBatch.from_arrays([*_nulls(k, pa.int64(), pa.string()), *sent, *_nulls(k, pa.int64(), pa.binary())], names=_CANDIDATE_NAMES)
+            yield _rows(_CANDIDATE, 2, _entries(slice_, part.astype(np.int32), h[single], keys[doc[single]], place[single]))
             if len(here):
-                hit = _by_key(keys[doc[here]], place[here])
-                k = len(hit[0])
-                yield pa.RecordBatch.from_arrays([*_nulls(k, pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), *hit], names=_CANDIDATE_NAMES)
+                yield _rows(_CANDIDATE, 2, _local(slice_, keys[doc[here]], place[here]))
 
     return run
 
@@ -252,12 +284,11 @@ def _cut(window: int, texts: bool):
             for i, lists in enumerate(piece.batch.column("hits").to_pylist()):
                 words = piece.bytes(i).split()
                 change = np.zeros(len(words) + 1, np.int64)
-                for b in lists:
-                    at = np.unique(np.frombuffer(b, np.int32))
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
+                at = np.unique(np.concatenate([np.frombuffer(b, np.int32) for b in lists]))
+                change[at] += 1
+                change[at + window] -= 1
                 covered = np.cumsum(change[:-1]) > 0
-                kept = b" ".join([words[j] for j in np.flatnonzero(~covered).tolist()])
+                kept = b" ".join(compress(words, (~covered).tolist()))
                 removed.append(int(covered.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 kept_texts.append(kept.decode() if texts else None)
@@ -266,8 +297,13 @@ def _cut(window: int, texts: bool):
     return run
 
 
-def _merge(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("hit_key").agg(F.collect_list("hit_places").alias("hits"))
+def _leaves(table: DataFrame, n: int) -> DataFrame:
+    """(hit_key, hits): places of each document whose hash stands in the table twice or more."""
+    rows = table.filter("part is not null")
+    found = rows.filter("part >= 0").select("slice", "part", "hashes", "keys", "places").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_subtrees, _HITS)
+    every = found.union(rows.filter("part < 0").select("slice", "keys", "places"))
+    by_document = every.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_regroup, "hit_key long, hit_places binary")
+    return by_document.groupBy("hit_key").agg(F.collect_list("hit_places").alias("hits"))  # one item, more where rows repeat
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -277,22 +313,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = materialize(rows.mapInArrow(_scan(window, parts * 4), _SCAN), "anchors")
-    entries = scan.filter("part is not null").select("part", "hashes", "keys", "places")
-    group = lambda e, n: e.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_subtrees, "hit_key long, hit_places binary")
-    anchors = group(entries, parts).union(scan.filter("hit_key is not null").select("hit_key", "hit_places"))
-
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    counted = scan.filter("cells is not null").select(F.posexplode(F.expr(f"transform(sequence(0, {(1 << CELL_BITS) - 1}), i -> conv(hex(reverse(substring(cells, i * 8 + 1, 8))), 16, 10))")))
-    for r in counted.groupBy("pos").agg(F.sum(F.col("col").cast("long")).alias("n")).collect():
-        cells[r.pos] = r.n
+    for r in scan.filter("cells is not null").select("cells").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[r.cell] = r.n
     capacity = max(1, min(GROUP_SUFFIXES, int(cells.sum()) // (4 * parts)))
     first, fan = prefix_groups(cells, capacity)
 
-    hits = _merge(anchors)
+    hits = _leaves(scan, parts)
     joined = rows.join(hits.hint("shuffle_hash"), rows["key"] == hits["hit_key"]).select("key", "text", "hits")
     found = materialize(joined.mapInArrow(_candidates(window, first, fan), _CANDIDATE), "suffixes")
-    leaves = group(found.filter("part is not null").select("part", "hashes", "keys", "places"), parts)
-    repeats = _merge(leaves.union(found.filter("hit_key is not null").select("hit_key", "hit_places")))
+    repeats = _leaves(found, parts)
     texts = found.filter("key is not null").select("key", "text").join(repeats, F.col("key") == F.col("hit_key")).select("key", "text", "hits")
     cut = texts.mapInArrow(_cut(window, with_text), "key long, removed long, cut_sha string, cut_text string").dropDuplicates(["key"])
     out = scan.filter("key is not null").select("id", "key", "n_words", "sha").join(cut, "key", "left")
