@@ -101,16 +101,18 @@ def token_codes(header, previous) -> Column:
     leading zeros), number, alpha, other."""
     number = lambda t: t.rlike("^(0|[1-9][0-9]{0,17})$")
 
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
     def against(before):
         def one(t, i):
             old = F.get(before, i)
             step = F.when(number(t) & number(F.coalesce(old, F.lit("x"))), t.try_cast("long") - old.try_cast("long"))
             return (
-                F.when(t == old, F.struct(F.lit("match").alias("kind"), F.lit("").alias("value")))
-                .when((step > 0) & (step < 256), F.struct(F.lit("delta"), step.cast("string")))
-                .when(t.rlike("^[0-9]"), F.struct(F.lit("number"), t))
-                .when(t.rlike("^[A-Za-z]"), F.struct(F.lit("alpha"), t))
-                .otherwise(F.struct(F.lit("other"), t))
+                F.when(t == old, pair("match", F.lit("")))
+                .when((step > 0) & (step < 256), pair("delta", step.cast("string")))
+                .when(t.rlike("^[0-9]"), pair("number", t))
+                .when(t.rlike("^[A-Za-z]"), pair("alpha", t))
+                .otherwise(pair("other", t))
             )
 
         return F.transform(tokens(header), one)

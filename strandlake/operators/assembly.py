@@ -155,4 +155,4 @@ def templates(counts: DataFrame, k: int, shortest: int, least: int = 3, reach: i
                 out.append(text)
         return pd.DataFrame({"contig_id": range(len(out)), "sequence": out})
 
-    return seeds(counts, least, most).groupBy(F.lit(0)).applyInPandas(run, "contig_id long, sequence string")
+    return seeds(counts, least, most).withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "contig_id long, sequence string")

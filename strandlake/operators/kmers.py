@@ -118,7 +118,7 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, most: int = 8, ancho
     last = n - k
     at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), lambda i: F.floor(last * i / (anchors - 1)).cast("int")))
     seeds = (
-        reads.filter(last >= 0).select("read_idx", F.upper("sequence").alias("sequence"), F.explode(at).alias("offset"))
+        reads.withColumn("sequence", F.upper("sequence")).filter(last >= 0).select("read_idx", "sequence", F.explode(at).alias("offset"))
         .withColumn("raw", F.substring("sequence", F.col("offset") + 1, F.lit(k))).filter(~F.col("raw").rlike("[^ACGT]"))
         .withColumn("kmer", F.least("raw", S.reverse_complement("raw"))).withColumn("forward", F.col("raw") == F.col("kmer"))
     )
@@ -175,7 +175,7 @@ def minimizer_postings(reads: DataFrame, k: int, w: int) -> DataFrame:
 def overlap_candidates(reads: DataFrame, k: int, w: int, least: int = 31, most: int = 4, cap: int = 50) -> DataFrame:
     """Pairs (a, b, shift, overlap, distance) where b extends a to the right: b's start lies ``shift`` bases
     into a, they overlap by ``least`` bases or more, and differ at ``most`` places.  Same strand only."""
-    rows = reads.select("read_idx", F.upper("sequence").alias("sequence"), F.explode(S.canonical_kmers("sequence", k)).alias("x")).select("read_idx", "sequence", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"))
+    rows = reads.withColumn("sequence", F.upper("sequence")).select("read_idx", "sequence", F.explode(S.canonical_kmers("sequence", k)).alias("x")).select("read_idx", "sequence", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"))
     picked = rows.join(minimizer_postings(reads, k, w), ["hash", "read_idx"], "left_semi")
     few = picked.withColumn("__n", F.row_number().over(Window.partitionBy("hash").orderBy("read_idx", "pos"))).filter(F.col("__n") <= cap)
     a, b = (few.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("read_idx", "sequence", "pos")]) for x in "ab")

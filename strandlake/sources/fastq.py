@@ -52,7 +52,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         rows.append((b.block, at - b.low))
         at += b.n
     shift = spark.createDataFrame(rows, "block long, shift long")
-    return raw.join(F.broadcast(shift), "block").select((F.col("mid") + F.col("shift")).alias("line"), F.rtrim(F.lit("\r"), "value").alias("value"))  # a row per input block
+    return raw.join(F.broadcast(shift), "block").select((F.col("mid") + F.col("shift")).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))  # a row per input block
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str], fasta: bool = False) -> DataFrame:
