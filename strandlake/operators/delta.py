@@ -155,3 +155,36 @@ def header_delta_bytes(deltas: DataFrame) -> DataFrame:
     small = (F.abs("dx") <= 1) & (F.abs("dy") <= 1)
     more = F.when(small, 0).otherwise(S.varint_size(S.zigzag("dx")) + S.varint_size(S.zigzag("dy")))
     return deltas.agg(F.count("*").alias("n"), (F.ceil(F.count("*") / 4) + F.sum(more)).alias("bytes"))
+
+
+def model_row(model: DataFrame) -> DataFrame:
+    """The positional model as one row: read length and medians in order."""
+    return model.agg(F.count("*").cast("int").alias("read_length"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "median"))), lambda x: x["median"]).alias("medians"))
+
+
+def model_table(row: DataFrame) -> DataFrame:
+    """The (pos, median) table of a one-row model."""
+    return row.select(F.posexplode("medians").alias("pos", "median"))
+
+
+def dictionary_sample(reads: DataFrame, every: int = 10) -> DataFrame:
+    """Every tenth read, to train a compression dictionary on: a sample by definition."""
+    return reads.filter(F.col("read_idx") % every == 0).select("read_idx", "quality")
+
+
+def prediction_residual(bases: DataFrame, context: list[str], symbol: str = "phred", block: int = 500_000) -> DataFrame:
+    """(read_idx, pos, residual): symbol minus the commonest symbol so far in its context (the smallest of several, 0 at
+    first) plus 128.  Counts start anew in each block of reads, which bounds a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["read_idx", "pos"])
+        counts: dict[int, int] = {}
+        top, most, out = 0, 0, []
+        for s in pdf[symbol]:
+            out.append(int(s) - top + 128)
+            n = counts[s] = counts.get(s, 0) + 1
+            if n > most or n == most and s < top:
+                top, most = int(s), n
+        return pd.DataFrame({"read_idx": pdf["read_idx"].to_numpy(), "pos": pdf["pos"].to_numpy(), "residual": out})
+
+    return bases.withColumn("__block", F.floor(F.col("read_idx") / block)).groupBy("__block", *context).applyInPandas(run, "read_idx long, pos int, residual int")

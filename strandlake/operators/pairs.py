@@ -154,3 +154,43 @@ def noise_positions(mismatches):
     """Distances between mismatch positions; 65535 and more are cut into steps."""
     pos = F.transform(mismatches, lambda m: m["pos"])
     return F.transform(pos, lambda p, i: F.when(i == 0, p).otherwise(p - F.get(pos, i - 1)))
+
+
+def singleton_alignment(singletons: DataFrame, contigs: DataFrame, k: int = 15, most: int = 24) -> DataFrame:
+    """Reads left alone, placed on the contigs of others within ``most`` differences."""
+    from .kmers import map_reads
+
+    return map_reads(singletons, contigs, k, most).filter("contig_id is not null")
+
+
+def mapped_pairs(mappings: DataFrame, n: int) -> DataFrame:
+    """(read_idx, position_1, is_rc_1, position_2, is_rc_2) of mappings of 2n reads, file 2 from index n."""
+    one = mappings.filter(F.col("read_idx") < n).select("read_idx", F.col("contig_id").alias("contig_1"), F.col("position").alias("position_1"), F.col("is_rc").alias("is_rc_1"))
+    two = mappings.filter(F.col("read_idx") >= n).select((F.col("read_idx") - n).alias("read_idx"), F.col("contig_id").alias("contig_2"), F.col("position").alias("position_2"), F.col("is_rc").alias("is_rc_2"))
+    return one.join(two, "read_idx")
+
+
+def decode_reads(contigs: DataFrame, reads: DataFrame, noise: DataFrame) -> DataFrame:
+    """(read_idx, sequence) from contigs that lie one after another: ``reads`` has the absolute position, length and
+    strand, ``noise`` (read_idx, pos, base) the bases that differ on the read's strand."""
+    size = F.length("sequence").cast("long")
+    placed = contigs.withColumn("lane", F.floor(F.col("contig_id") / 65536))
+    lanes = placed.groupBy("lane").agg(F.sum(size).alias("bases")).select("lane", (F.sum("bases").over(Window.orderBy("lane")) - F.col("bases")).alias("lane_start"))  # one row for 65,536 contigs
+    starts = placed.join(F.broadcast(lanes), "lane").select("contig_id", F.col("sequence").alias("contig"), (F.col("lane_start") + F.sum(size).over(Window.partitionBy("lane").orderBy("contig_id")) - size).alias("start"))
+    found = reads.join(starts, "contig_id")
+    region = F.substring("contig", (F.col("position") - F.col("start") + 1).cast("int"), F.col("length"))
+    strand = F.when(F.col("is_rc"), S.reverse_complement(region)).otherwise(region)
+    patches = noise.groupBy("read_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "base"))).alias("patch"))
+    rows = found.select("read_idx", strand.alias("own")).join(patches, "read_idx", "left")
+    fixed = S.let(F.struct("own", "patch"), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.length(x["own"]) - 1), lambda i: F.coalesce(F.try_element_at(x["patch"], i), F.substring(x["own"], i + 1, F.lit(1)))), ""))
+    return rows.select("read_idx", F.when(F.col("patch").isNull(), F.col("own")).otherwise(fixed).alias("sequence"))
+
+
+def absolute_positions(contigs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Mappings with the position counted over all contigs, one after another."""
+    before = contigs.select(F.col("contig_id").alias("other"), F.length("sequence").cast("long").alias("size"))
+    lane = F.floor(F.col("other") / 65536)
+    run = before.withColumn("lane", lane)
+    lanes = run.groupBy("lane").agg(F.sum("size").alias("bases")).select("lane", (F.sum("bases").over(Window.orderBy("lane")) - F.col("bases")).alias("lane_start"))
+    starts = run.join(F.broadcast(lanes), "lane").select(F.col("other").alias("contig_id"), (F.col("lane_start") + F.sum("size").over(Window.partitionBy("lane").orderBy("other")) - F.col("size")).alias("start"))
+    return mappings.join(starts, "contig_id").withColumn("position", F.col("start") + F.col("position")).drop("start")

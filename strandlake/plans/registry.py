@@ -428,6 +428,63 @@ _add("sp04_match_candidates", f"""SELECT a.read_idx AS a, b.read_idx AS b, a.is_
   WHERE len([1 for j in range(1, 65) if substr(a.s, j, 1) <> substr(b.sequence, j, 1)]) <= 4""", pairs.match_candidates, mutated=True)
 _add("sp05_rolling_consensus", None, lambda r: pairs.rolling_consensus(r, r.withColumn("__w", F.substring("sequence", 20, 24)).select(F.xxhash64("__w").alias("chain"), F.col("read_idx").alias("rank"), "read_idx")), mutated=True)
 _add("sp07_restore_order", "SELECT read_idx, id FROM reads", lambda r: reorder.apply(r, reorder.center(r, 5000)).select("read_idx", "id"))
-_add("sp08_pair_order", None, lambda r: pairs.pair_order(reorder.by_strategy(r, "lexicographic", "quality", 1 << 40), 1))
+_HALF = f", o AS ({_ORDER.replace('5000', '1000000000').format(keys='quality', source='reads')}), h AS (SELECT count(*) // 2 AS n FROM reads), p AS (SELECT read_idx, row_number() OVER (ORDER BY new_pos) - 1 AS place, n FROM o, h WHERE read_idx < n)"
+_add("sp08_pair_order", "SELECT read_idx, place FROM p UNION ALL SELECT read_idx + n, place + n FROM p", lambda r: pairs.pair_order(reorder.by_strategy(r, "lexicographic", "quality", 1_000_000_000), r.count() // 2), extra=_HALF)
+_add("sp09_pair_flags", f"""SELECT a.read_idx, CAST(CASE WHEN a.contig_id IS NOT NULL AND b.contig_id IS NOT NULL AND abs(b.position - a.position) < 32767 AND a.is_rc <> b.is_rc THEN 0 WHEN a.contig_id IS NOT NULL AND b.contig_id IS NOT NULL THEN 1
+  WHEN a.contig_id IS NOT NULL THEN 2 WHEN b.contig_id IS NOT NULL THEN 3 ELSE 4 END AS BIGINT) AS flag
+  FROM (SELECT m.read_idx, t.contig_id, t.position, t.is_rc FROM mutated m LEFT JOIN best t USING (read_idx)) a JOIN (SELECT m.read_idx - (SELECT count(*) // 2 FROM reads) AS read_idx, t.contig_id, t.position, t.is_rc FROM mutated m LEFT JOIN best t USING (read_idx)) b USING (read_idx)
+  WHERE a.read_idx < (SELECT count(*) // 2 FROM reads)""", None, extra=_MAP)
+
+
+def _pair_flags(spark, sf):
+    reads = R.derived_reads(spark, sf, True)
+    mapped = kmers.map_reads(reads, _contigs(R.derived_reads(spark, sf)), 15)
+    return tidy(pairs.pair_flags(pairs.mapped_pairs(mapped, reads.count() // 2)).select("read_idx", "flag"))
+
+
+_QUERIES["sp09_pair_flags"] = _pair_flags
+
+
+def _decode_reads(spark, sf):
+    encoded, contigs = _encode(spark, sf)
+    mapped = encoded.filter("contig_id is not null")
+    noise = mapped.select("read_idx", F.explode("mismatches").alias("m")).select("read_idx", "m.pos", "m.base")
+    return tidy(pairs.decode_reads(contigs, pairs.absolute_positions(contigs, mapped), noise))
+
+
+_add("sp06_singleton_alignment", "SELECT read_idx, contig_id, CAST(position AS BIGINT) AS position, is_rc, CAST(distance AS BIGINT) AS distance FROM best24", None,
+     extra=_MAP + ", best24 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY distance, contig_id, position, is_rc) AS n FROM scored WHERE distance <= 24) WHERE n = 1)")
+_QUERIES["sp06_singleton_alignment"] = lambda spark, sf: tidy(pairs.singleton_alignment(R.derived_reads(spark, sf, True), _contigs(R.derived_reads(spark, sf))))
+_add("sp12_decode_reads", "SELECT m.read_idx, m.sequence FROM mutated m JOIN best b USING (read_idx)", None, extra=_MAP)
+_QUERIES["sp12_decode_reads"] = _decode_reads
 _add("sp10_quality_transitions", "SELECT pos, q1 AS before, phred, count(*) AS n FROM context GROUP BY 1, 2, 3", lambda r: pairs.quality_transitions(R.bases(r)), extra=_CONTEXT)
 _add("sp11_threshold", f"SELECT read_idx, array_to_string([chr(CAST(33 + CASE WHEN x - 33 >= 30 THEN 35 ELSE 10 END AS INT)) for x in {_codes('quality')}], '') AS quality FROM reads", lambda r: r.select("read_idx", Q.threshold("quality", 30, 35, 10).alias("quality")))
+_add("ql15_model_row", f"SELECT CAST(count(*) AS BIGINT) AS read_length, string_agg(CAST(median AS VARCHAR), ',' ORDER BY pos) AS medians FROM model", lambda r: delta.model_row(delta.quality_model(r)).select("read_length", F.array_join(F.transform("medians", lambda x: x.cast("string")), ",").alias("medians")), extra=_MODEL)
+_add("ql15_model_read_back", "SELECT pos, median FROM model", lambda r: delta.model_table(delta.model_row(delta.quality_model(r))), extra=_MODEL)
+_add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", lambda r: r.agg(F.when(F.count("*") >= 100_000, "context").otherwise("plain").alias("codec")))
+_add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads WHERE read_idx % 10 = 0", delta.dictionary_sample)
+_add("ql25_prediction_residual", None, lambda r: delta.prediction_residual(_contexts(r), ["q1"]))
+_add("as10_overlap_candidates", None, lambda r: kmers.overlap_candidates(_shifted(r), 15, 11, 31, 4))
+_add("as11_greedy_contigs", None, lambda r: assembly.greedy_contigs(_shifted(r), clusters.clusters(_shifted(r), "selective", 15, 11)))
+
+
+def _shifted(r):
+    """48-base windows of the reads at 0, 8 and 16, so that reads overlap."""
+    return r.withColumn("sequence", F.substring("sequence", (F.col("read_idx") % 3 * 8 + 1).cast("int"), F.lit(48)))
+
+
+def _svd(spark, sf):
+    from ..operators import tensors
+
+    ranks = tensors.svd_ranks(R.derived_reads(spark, sf), 64)
+    return spark.createDataFrame([(float(s), int(k)) for s, k in ranks.items()], "share double, rank long")
+
+
+def _tensors(spark, sf):
+    from ..operators import tensors
+
+    return tidy(spark.createDataFrame(tensors.decompositions(R.derived_reads(spark, sf), 64, ranks=(5, 10), first=200)))
+
+
+_QUERIES["en18_svd_ranks"] = _svd
+_QUERIES["en19_tensor_decompositions"] = _tensors
