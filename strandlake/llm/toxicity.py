@@ -21,7 +21,7 @@ from .common import Slice, slices, text_or_empty
 from .labelled import class_counts, held_out, labelled_sample
 
 TRAIN_PER_CLASS = 2000
-TRAIN_BYTES = 48 << 20
+TRAIN_BYTES = 24 << 20
 WINDOW, STRIDE = 64, 48
 BUCKET_BITS = 18
 GRAMS = (4, 6)
@@ -85,13 +85,14 @@ class LogOdds:
             self.tables.append((np.log(p / (1 - p)) - np.log(prior / (1 - prior))).astype(np.float32))
 
     @staticmethod
-    def count(parsed: list[Parsed], labels: list[np.ndarray], use: list[np.ndarray]):
+    def count(pieces: list[Slice], labels: list[np.ndarray], use: list[np.ndarray]):
         """Documents of each class that hold a bucket, among those with ``use``."""
         size, out = 1 << BUCKET_BITS, []
         for kind in (0, *GRAMS):
             held = np.zeros((2, size))
             totals = np.zeros(2)
-            for p, y, u in zip(parsed, labels, use):
+            for piece, y, u in zip(pieces, labels, use):
+                p = Parsed(piece)
                 owner = np.repeat(np.arange(p.n), np.diff(p.first))
                 if kind == 0:
                     bucket, of = p.words, owner
@@ -260,35 +261,37 @@ def fit(pieces: list[Slice], labels: list[np.ndarray], counts: tuple[int, int] =
     every = np.concatenate(labels) if labels else np.zeros(0)
     if len(np.unique(every)) < 2:
         return Model(None, network)
-    parsed = [Parsed(p) for p in pieces]
     # of near copies one takes part, so that no half knows the other's documents
-    marks = np.concatenate([sketch(p) for p in parsed])
+    marks = np.concatenate([sketch(Parsed(p)) for p in pieces])
     single = np.zeros(len(marks), bool)
     single[np.unique(marks, return_index=True)[1]] = True
-    use = np.split(single, np.cumsum([p.n for p in parsed])[:-1])
+    use = np.split(single, np.cumsum([p.n for p in pieces])[:-1])
     half = [np.arange(p.n) % 2 == 0 for p in pieces]
-    other = [LogOdds(LogOdds.count(parsed, labels, [(h == side) & u for h, u in zip(half, use)])) for side in (False, True)]
-    xs, starts, lengths, targets, base = [], [], [], [], 0
+    other = [LogOdds(LogOdds.count(pieces, labels, [(h == side) & u for h, u in zip(half, use)])) for side in (False, True)]
+
+    def features(piece, h):
+        """With the log-odds of the half that a document is not in."""
+        p = Parsed(piece)
+        return np.where(np.repeat(h, np.diff(p.first))[:, None], other[0].features(p), other[1].features(p)), p.first
+
+    xs, lengths, targets = [], [], []
     r = np.random.default_rng(seed)
-    held = []
-    for p, y, h, u in zip(parsed, labels, half, use):
-        both = [o.features(p) for o in other]
-        owner = np.repeat(h, np.diff(p.first))
-        x = np.where(owner[:, None], both[0], both[1])  # the log-odds of the half that the document is not in
-        held.append((x, p.first, y))
-        start, length, doc = windows(p.first)
+    for p, y, h, u in zip(pieces, labels, half, use):
+        x, first = features(p, h)
+        start, length, doc = windows(first)
         sums = np.concatenate([[0], np.cumsum(np.maximum(x[:, :3].max(1, initial=0), 0) ** 2)])
         strength = sums[start + length] - sums[start]
         order = np.lexsort((r.random(len(doc)), -strength, doc))
         rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
         # a toxic document's strongest window; of a clean one the strongest and two by chance
         chosen = order[u[doc[order]] & ((rank == 0) | (y[doc[order]] == 0) & (r.random(len(doc)) * (1 + np.bincount(doc, minlength=p.n))[doc[order]] < 2))]
-        xs.append(x)
-        starts.append(start[chosen] + base)
+        at = start[chosen][:, None] + np.minimum(np.arange(WINDOW), np.maximum(length[chosen] - 1, 0)[:, None])
+        xs.append(x[np.minimum(at, len(x) - 1)].reshape(-1, INPUTS) if len(x) else np.zeros((len(chosen) * WINDOW, INPUTS), np.float32))
         lengths.append(length[chosen])
         targets.append(y[doc[chosen]])
-        base += len(x)
-    x, start, length, target = np.concatenate(xs), np.concatenate(starts), np.concatenate(lengths), np.concatenate(targets).astype(np.float32)
+    x, length, target = np.concatenate(xs), np.concatenate(lengths), np.concatenate(targets).astype(np.float32)
+    start = np.arange(len(length)) * WINDOW
+    del xs
     if not len(x):
         return Model(None, network)
     weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
@@ -304,14 +307,14 @@ def fit(pieces: list[Slice], labels: list[np.ndarray], counts: tuple[int, int] =
             v += 0.01 * (grad**2 - v)
             network.w[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     # the maximum over a document's windows is calibrated on all windows of the sample, at the classes' true rates
-    logit = np.concatenate([network.document_logits(x, first) for x, first, _ in held])[single]
+    logit = np.concatenate([network.document_logits(*features(p, h)) for p, h in zip(pieces, half)])[single]
     every = every[single]
     rates = np.array(counts) / max(1, sum(counts)) / np.maximum([(every == 0).mean(), (every == 1).mean()], 1e-6)
     for _ in range(300):
         e = (_sigmoid(logit * network.scale + network.shift) - every) * rates[every.astype(int)]
         network.scale = max(0.1, network.scale - 0.2 * (e * logit).mean())
         network.shift -= 0.2 * e.mean()
-    return Model(LogOdds(LogOdds.count(parsed, labels, use)), network)
+    return Model(LogOdds(LogOdds.count(pieces, labels, use)), network)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> Model:
