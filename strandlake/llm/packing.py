@@ -29,7 +29,7 @@ TIERS = (4096, 2048, 1024, 512, 256)
 END_ID = 2
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
