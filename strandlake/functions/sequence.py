@@ -72,10 +72,29 @@ def kmers(seq, k: int, step: int = 1) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.struct(i.alias("pos"), F.substring(s, i + 1, F.lit(k)).alias("kmer")))).otherwise(F.array())
 
 
+def _canonical_texts(seq, k: int) -> Column:
+    """Array of (kmer, pos, is_forward) in canonical form, without k-mers that hold other letters.  The read is
+    complemented once; a k-mer's other strand is a substring of that."""
+    masked = F.regexp_replace(F.upper(_c(seq)), "[^ACGT]", "N")
+
+    def texts(x):
+        last = F.length(x["s"]) - k
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        both = F.transform(at, lambda i: F.struct(F.substring(x["s"], i + 1, F.lit(k)).alias("f"), F.substring(x["r"], last - i + 1, F.lit(k)).alias("r"), i.alias("pos")))
+        clean = F.filter(both, lambda y: ~F.contains(y["f"], F.lit("N")))
+        return F.transform(clean, lambda y: F.struct(F.least(y["f"], y["r"]).alias("kmer"), y["pos"].alias("pos"), (y["f"] <= y["r"]).alias("is_forward")))
+
+    return let(F.struct(masked.alias("s"), F.reverse(F.translate(masked, "ACGT", "TGCA")).alias("r")), texts)
+
+
+def _text_hash(kmer: Column) -> Column:
+    """Hash of a clean upper-case k-mer."""
+    return F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("long")
+
+
 def canonical_kmers(seq, k: int) -> Column:
     """Array of (hash, pos, is_forward) of the k-mers without other letters."""
-    h = F.transform(kmers(seq, k), lambda x: F.struct(canonical_hash(x["kmer"]).alias("c"), x["pos"].alias("pos")))
-    return F.transform(F.filter(h, lambda x: x["c"]["hash"].isNotNull()), lambda x: F.struct(x["c"]["hash"].alias("hash"), x["pos"].alias("pos"), x["c"]["is_forward"].alias("is_forward")))
+    return F.transform(_canonical_texts(seq, k), lambda x: F.struct(_text_hash(x["kmer"]).alias("hash"), x["pos"].alias("pos"), x["is_forward"].alias("is_forward")))
 
 
 def mismatches(a, b) -> Column:
@@ -169,17 +188,18 @@ def minimizers(seq, k: int, w: int, drop_repeats: bool = True) -> Column:
 
     def smallest(h):
         last = F.size(h) - w
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_min(F.slice(h, i, w)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_min(F.slice(h, i, w)))).otherwise(F.array().cast("array<string>"))
 
     def fresh(found):
         return F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1)))
 
-    found = let(F.transform(canonical_kmers(seq, k), lambda x: x["hash"]), smallest)
-    return let(found, fresh) if drop_repeats else found
+    # letter order is hash order, so only the chosen ones are hashed
+    found = let(F.transform(_canonical_texts(seq, k), lambda x: x["kmer"]), smallest)
+    return F.transform(let(found, fresh) if drop_repeats else found, _text_hash)
 
 
 def min_kmer(seq, k: int = 21) -> Column:
-    return F.array_min(F.transform(canonical_kmers(seq, k), lambda x: x["hash"]))
+    return _text_hash(F.array_min(F.transform(_canonical_texts(seq, k), lambda x: x["kmer"])))
 
 
 def bottom_sketch(hashes, n: int) -> Column:
