@@ -158,24 +158,34 @@ def center_windows(seq) -> Column:
     return F.when(ok, F.struct(F.substring(s, mid - w + 1, w).alias("left"), F.substring(s, mid + 1, w).alias("right")))
 
 
-def _smallest_inner(kmer: Column, s: int, k: int) -> Column:
-    """Offset of the smallest s-mer of a k-mer in letter order, leftmost on ties."""
-    inner = F.transform(F.sequence(F.lit(0), F.lit(k - s)), lambda i: F.struct(F.substring(kmer, i + 1, F.lit(s)).alias("s"), i.alias("at")))
-    return F.array_min(inner)["at"]
+def _syncmer_texts(seq, k: int, s: int, offsets: tuple[int, ...]) -> Column:
+    """Canonical k-mers whose smallest s-mer, leftmost on ties and in letter order, stands at one of ``offsets``."""
+    masked = F.regexp_replace(F.upper(_c(seq)), "[^ACGT]", "N")
+
+    def inner(x):
+        last = F.length(x) - s
+        at = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(x, i, F.lit(s)))
+
+    def chosen(y):
+        own = lambda c: F.slice(y["inner"], c["pos"] + 1, k - s + 1)
+        if tuple(offsets) == (0,):
+            return F.filter(y["texts"], lambda c: F.array_min(own(c)) == F.get(y["inner"], c["pos"]))
+        return F.filter(y["texts"], lambda c: F.array_position(own(c), F.array_min(own(c))).isin(*[o + 1 for o in offsets]))
+
+    return let(F.struct(let(masked, inner).alias("inner"), _canonical_texts(seq, k).alias("texts")), chosen)
 
 
 def syncmers(seq, k: int = 21, s: int = 10, offsets: tuple[int, ...] = (0,)) -> Column:
     """Array of (hash, pos, is_forward) of the k-mers whose smallest s-mer stands at one of ``offsets``:
     (0,) gives open syncmers, (0, k - s) closed ones."""
-    chosen = F.filter(kmers(seq, k), lambda x: x["kmer"].rlike("^[ACGTacgt]+$") & _smallest_inner(F.upper(x["kmer"]), s, k).isin(*offsets))
-    hashed = F.transform(chosen, lambda x: F.struct(canonical_hash(x["kmer"]).alias("c"), x["pos"].alias("pos")))
-    return F.transform(hashed, lambda x: F.struct(x["c"]["hash"].alias("hash"), x["pos"].alias("pos"), x["c"]["is_forward"].alias("is_forward")))
+    return F.transform(_syncmer_texts(seq, k, s, offsets), lambda x: F.struct(_text_hash(x["kmer"]).alias("hash"), x["pos"].alias("pos"), x["is_forward"].alias("is_forward")))
 
 
 def min_syncmer(seq, k: int = 21, s: int = 10) -> Column:
     """Smallest open syncmer as struct (hash, pos); null where there is none."""
-    found = F.transform(syncmers(seq, k, s), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos")))
-    return F.array_min(found)
+    best = F.array_min(F.transform(_syncmer_texts(seq, k, s, (0,)), lambda x: F.struct(x["kmer"].alias("kmer"), x["pos"].alias("pos"))))
+    return let(best, lambda x: F.when(x.isNotNull(), F.struct(_text_hash(x["kmer"]).alias("hash"), x["pos"].alias("pos"))))
 
 
 def hint_byte(seq) -> Column:

@@ -124,7 +124,7 @@ _add("sq13_n_statistics", f"""SELECT read_idx, {_long("len(n)")} AS n_count, arr
      lambda r: r.select("read_idx", "sequence", S.n_positions("sequence").alias("n")).select("read_idx", F.size("n").alias("n_count"), F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("positions"), (100.0 * F.size("n") / F.length("sequence")).alias("percent")))
 _add("sq14_center_windows", "SELECT read_idx, translate(substr(sequence, 13, 20), 'N', 'A') AS \"left\", translate(substr(sequence, 33, 20), 'N', 'A') AS \"right\" FROM reads", lambda r: r.select("read_idx", S.center_windows("sequence").alias("w")).select("read_idx", "w.*"))
 _add("sq15_min_syncmer", "SELECT read_idx, min(hash) AS hash, arg_min(pos, struct_pack(h := hash, p := pos)) AS pos FROM sy GROUP BY read_idx",
-     lambda r: r.select("read_idx", S.min_syncmer("sequence").alias("s")).filter("s is not null").select("read_idx", "s.hash", "s.pos"), extra=_syncmer_cte())
+     lambda r: r.select("read_idx", F.explode(F.array_compact(F.array(S.min_syncmer("sequence")))).alias("s")).select("read_idx", "s.hash", "s.pos"), extra=_syncmer_cte())
 _add("sq16_closed_syncmers", "SELECT read_idx, pos, hash FROM sy", lambda r: r.select("read_idx", F.explode(S.syncmers("sequence", 21, 10, (0, 11))).alias("x")).select("read_idx", "x.pos", "x.hash"), extra=_syncmer_cte(offsets=(0, 11)))
 _add("sq17_hint_byte", "SELECT read_idx, coalesce(min(hash) >> 34, 255) AS hint FROM reads LEFT JOIN sy USING (read_idx) GROUP BY read_idx", lambda r: r.select("read_idx", S.hint_byte("sequence").alias("hint")), extra=_syncmer_cte())
 _add("sq18_minimizers", f"""SELECT read_idx, CAST(count(*) AS BIGINT) AS n, min(h) AS lowest FROM (SELECT read_idx, i, h, lag(h) OVER (PARTITION BY read_idx ORDER BY i) AS before FROM (
