@@ -5,7 +5,8 @@ strongest and the mean) and word features (log-odds of the hashed word, length).
 are cut into overlapping windows, every window is scored, and the strongest window is the document's.
 
 Training reads at most ``TRAIN_PER_CLASS`` labelled documents of each class and ``TRAIN_BYTES`` of
-text.  Log-odds that the network trains on come from the other half of the sample, so that it learns
+text, of which each class has half and what the other leaves; documents that do not fit are passed over,
+and a class of which none fits takes part with its shortest.  Log-odds that the network trains on come from the other half of the sample, so that it learns
 how far to trust them.  Null and empty texts have one window without words and get the network's
 score for it.  Without labels of both classes every score is that of an untrained prior, below 0.5.
 """
@@ -13,6 +14,7 @@ score for it.  Without labels of both classes every score is that of an untraine
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -317,11 +319,28 @@ def fit(pieces: list[Slice], labels: list[np.ndarray], counts: tuple[int, int] =
     return Model(LogOdds(LogOdds.count(pieces, labels, use)), network)
 
 
+def within_budget(sizes: pd.DataFrame, most_bytes: int) -> list[int]:
+    """Ids of both classes, in the order of ``k``, whose ``b`` bytes fit; the smaller class chooses first."""
+    taken, left = [], most_bytes
+    parts = sorted((part.sort_values(["k", "id"]) for _, part in sizes.groupby("y")), key=lambda part: part["b"].sum())
+    for nth, part in enumerate(parts):
+        room = left // (len(parts) - nth)
+        ids = []
+        for i, b in zip(part["id"].tolist(), part["b"].tolist()):
+            if b <= room:
+                ids.append(i)
+                room -= b
+                left -= b
+        # both classes must be there, so a class without any that fits gives its shortest
+        taken += ids or [part.sort_values(["b", "k", "id"])["id"].tolist()[0]]
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> Model:
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
     order = F.xxhash64(F.lit(13), "id")
-    taken = sample.select("id", F.octet_length("text").alias("b"), order.alias("k")).toPandas().sort_values(["k", "id"])
-    taken = taken[taken["b"].cumsum() <= most_bytes]["id"].tolist()  # 2 * per_class ids at most
+    sizes = sample.select("id", "y", F.octet_length("text").alias("b"), order.alias("k")).toPandas()
+    taken = within_budget(sizes.groupby(["id", "y", "k"], as_index=False)["b"].sum(), most_bytes)  # 2 * per_class ids at most
     rows = sample.filter(F.col("id").isin(taken)).toPandas().sort_values("id", ignore_index=True) if taken else None
     if rows is None or not len(rows):
         return Model(None, Network())

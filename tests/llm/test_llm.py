@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -278,6 +279,26 @@ def labelled(spark):
     return table(spark, rows), spark.createDataFrame(labels + [(5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
 
 
+def test_toxicity_long_texts(spark, labelled):
+    """Labelled texts over the budget come first in the order, or are all that a class has."""
+    docs, labels, known = labelled
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    ids = [i for i in known if i in texts and i is not None]
+    first = toxicity.within_budget(pd.DataFrame({"id": [1, 2, 3, 4, 5], "y": [0, 0, 1, 1, 1], "b": [900, 10, 30, 500, 20], "k": [0, 1, 2, 3, 4]}), 120)
+    assert sorted(first) == [2, 3, 5]
+    alone = toxicity.within_budget(pd.DataFrame({"id": [1, 2, 3], "y": [0, 1, 1], "b": [10, 900, 800], "k": [0, 1, 2]}), 120)
+    assert sorted(alone) == [1, 3] and toxicity.within_budget(pd.DataFrame({"id": [], "y": [], "b": [], "k": []}), 120) == []
+    order = docs.selectExpr("doc_id", "xxhash64(13, doc_id) AS k").filter("doc_id IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0")
+    lead = [x.doc_id for x in order.orderBy("k", "doc_id").collect() if x.doc_id in ids][:3]
+    most = sum(len((texts[i] or "").encode()) for i in ids)
+    long = docs.selectExpr("doc_id", f"IF(doc_id IN ({','.join(map(str, lead))}), concat(text, repeat(' zz', {most})), text) AS text")
+    model = toxicity.train(long, labels, most_bytes=most)
+    assert model.odds is not None
+    got = toxicity.score_toxicity(docs.filter(~docs.doc_id.isin(lead)), model).collect()
+    right = [x.predicted == known[x.doc_id][1] for x in got if x.held_out and x.doc_id in known]
+    assert sum(right) > 0.9 * len(right)
+
+
 def test_toxicity(spark, labelled):
     docs, labels, truth = labelled
     got = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()
