@@ -214,7 +214,8 @@ _TEXT_MEDIA = "id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text as a Netpbm image and back: sizes, hashes of what was read back, and its feature.
 
-    The feature is the difference hash, a colon, and the CRC-32 of the first NPY tile.  Null text is empty.
+    The feature is the difference hash, a colon, the number of NPY tiles, a colon, and the CRC-32 of all of them
+    in order.  Null text is empty.
     """
 
     def one(text: bytes):
@@ -222,8 +223,10 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         media = to_media(text.ljust(room, b"\xff"))
         image = decode(media)
         back = image.tobytes()
-        first = npy(image[:TILE])
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(first):08x}"
+        count, digest = 0, 0
+        for _, _, tile in tiles(image):
+            count, digest = count + 1, zlib.crc32(tile, digest)
+        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{count}:{digest:08x}"
 
     def run(batches):
         for piece in slices(batches):

@@ -220,6 +220,16 @@ def test_text_media(spark, corpus):
     assert len(got) == len(corpus) and media.text_media(empty(spark)).count() == 0
 
 
+def test_text_media_reaches_every_tile(spark):
+    base = "a" * 5000
+    got = media.text_media(table(spark, [(1, base, "s"), (2, base[:4900] + "b" + base[4901:], "s"), (3, "", "s")])).collect()
+    mark = {x.doc_id: x.feature.split(":") for x in got}
+    # 9 units of 576 bytes are 216 rows, so 4 tiles
+    assert mark[1][1] == "4" and mark[3][1] == "1" and mark[1][2] != mark[2][2]
+    image = media.decode(media.to_media(base.encode().ljust(5184, b"\xff")))
+    assert mark[1][2] == f"{zlib.crc32(b''.join(t for _, _, t in media.tiles(image))):08x}"
+
+
 def test_image_tiles(spark):
     import io
 
