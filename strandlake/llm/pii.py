@@ -1,14 +1,15 @@
 """Personal data: base patterns, and terms that still reveal a protected entity.
 
 Base kinds are found by pattern and validity check in whole texts.  Each valid match is a protected
-entity, known by the hash of its kind and text.  The terms within ``NEAR`` words of an entity are its
-context.  From all documents come the number of documents that hold a term and the number in which
-it stands in an entity's context; a term discloses an entity when
+entity, known by the hash of its kind and text.  From all documents come the number of documents that
+hold a term and the number that hold it together with an entity, wherever the two stand; a term
+discloses an entity when
 
     p(entity | term) = together / (documents with the term + 1) >= ``DISCLOSURE``
 
 and its pointwise information about the entity, log2 p(entity | term) - log2 p(entity), is at least
-``BITS``.  Such terms in the entity's context become spans of kind ``term``.  ``sanitise`` replaces base
+``BITS``.  Every occurrence of such a term in a document that holds the entity becomes a span of kind ``term``;
+documents without the entity are left as they are.  ``sanitise`` replaces base
 spans by their kind, generalises disclosing terms with digits or capitals to their class, removes others.
 
 Null text is empty and has no spans.  Rows that repeat an id are searched one by one.
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, text_or_empty
 
-NEAR = 6
 DISCLOSURE = 0.8
 BITS = 3.0
 KINDS = ("email", "ip", "card", "phone")
@@ -98,42 +98,34 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def context_terms(text: str, spans, near: int = NEAR):
-    """(entity hash, term, start, end) of the words near each base span and outside all of them."""
-    out = []
-    for kind, a, b in spans:
-        entity = _hash(kind, text[a:b])
-        left = [m for m in _WORD.finditer(text, max(0, _back(text, a, near)), a)][-near:]
-        right = []
-        for m in _WORD.finditer(text, b):
-            right.append(m)
-            if len(right) == near:
-                break
-        for m in left + right:
-            if all(m.end() <= x or m.start() >= y for _, x, y in spans):
-                out.append((entity, m.group(), m.start(), m.end()))
+def document_terms(text: str, spans):
+    """(term, start, end) of every word outside all base spans."""
+    bounds = sorted((a, b) for _, a, b in spans)
+    out, k, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(bounds) and bounds[k][0] < m.end():
+            reach = max(reach, bounds[k][1])
+            k += 1
+        if m.start() >= reach:
+            out.append((m.group(), m.start(), m.end()))
     return out
 
 
-def _back(text: str, at: int, words: int) -> int:
-    """A place that many words before ``at``."""
-    inside = False
-    while at > 0:
-        solid = text[at - 1] not in " \t\n\v\f\r"
-        if inside and not solid:
-            words -= 1
-            if words == 0:
-                break
-        inside = solid
-        at -= 1
-    return at
+_FOUND = "row long, id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,start:long,end:long>>"
+_TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-_FOUND = "row long, id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,term:long,start:long,end:long>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+def _entities(batches):
+    """The distinct entities of each document."""
+    for piece in slices(batches):
+        out = []
+        for text in piece.batch.column("text").to_pylist():
+            out += {_hash(kind, text[a:b]) for kind, a, b in base_spans(text)}
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["entity"])
 
 
-def _find(batches):
+def _find(wanted, batches):
+    """Base spans, and all terms of the documents that hold an entity in ``wanted``; None stands for all."""
     row = TaskContext.get().partitionId() << 36
     for piece in slices(batches):
         texts = piece.batch.column("text").to_pylist()
@@ -141,16 +133,16 @@ def _find(batches):
         for i, text in zip(piece.batch.column("id").to_pylist(), texts):
             spans = base_spans(text)
             counts = [sum(s[0] == k for s in spans) for k in KINDS] if spans else (0, 0, 0, 0)
-            rows.append((row, i, *counts, spans_text(spans), context_terms(text, spans) if spans else []))
+            held = sorted({e for e in (_hash(kind, text[a:b]) for kind, a, b in spans) if wanted is None or e in wanted})
+            rows.append((row, i, *counts, spans_text(spans), held, document_terms(text, spans) if held else []))
             row += 1
         # terms are known by the same hash as in _count: that of their bytes
-        where = [k for k, r in enumerate(rows) if r[7]]
-        words = [c[1].encode() for k in where for c in rows[k][7]]
+        words = [c[0].encode() for r in rows for c in r[8]]
         joined = pa.RecordBatch.from_pydict({"text": pa.array([b" ".join(words).decode()], pa.string())})
         hashes = iter(_word_ids(next(slices([joined]))).tolist() if words else [])
-        near = [[{"entity": e, "term": next(hashes), "start": a, "end": b} for e, _, a, b in r[7]] for r in rows]
-        kinds = [pa.int64()] * 6 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(near, _NEAR)], names=["row", "id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+        terms = [[{"term": next(hashes), "start": a, "end": b} for _, a, b in r[8]] for r in rows]
+        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(terms, _TERMS)], names=["row", "id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
 
 
 def _word_ids(piece) -> np.ndarray:
@@ -199,14 +191,16 @@ def _count(wanted, batches):
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], names=["term", "n"])
 
 
-def disclosing(found: DataFrame, texts: DataFrame, total: int, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
-    """(entity, term) pairs over the thresholds, from counts over all documents."""
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.entity", "c.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
-    # fewer than this many joint documents can't reach the threshold
-    least = disclosure / (1 - disclosure) if disclosure < 1 else float("inf")
-    likely = together.filter(F.col("together") >= F.lit(least - 1e-9))
+def least_together(disclosure: float = DISCLOSURE) -> float:
+    """With fewer joint documents than this no pair reaches the threshold: together / (documents + 1), documents >= together."""
+    return disclosure / (1 - disclosure) if disclosure < 1 else float("inf")
+
+
+def disclosing(found: DataFrame, entities: DataFrame, texts: DataFrame, total: int, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
+    """(entity, term) pairs over the thresholds, from counts over all documents; ``entities`` has holders."""
+    held = found.filter(F.size("terms") > 0).select(F.explode("entities").alias("entity"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
+    together = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"))
+    likely = together.filter(F.col("together") >= F.lit(least_together(disclosure) - 1e-9))
     likely = materialize(likely, "likely")
     terms = likely.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).toPandas()["term"].to_numpy(np.int64)
@@ -227,15 +221,19 @@ def disclosing(found: DataFrame, texts: DataFrame, total: int, disclosure: float
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    found = materialize(texts.mapInArrow(_find, _FOUND), "pii")
-    pairs = disclosing(found, texts.select("text"), found.count())
+    entities = texts.select("text").mapInArrow(_entities, "entity long").groupBy("entity").agg(F.count("*").alias("holders"))
+    entities = materialize(entities.filter(F.col("holders") >= F.lit(least_together() - 1e-9)), "entities")
+    few = [r.entity for r in entities.limit(BROADCAST_TERMS + 1).collect()] if BROADCAST_TERMS >= 0 else []
+    sent = texts.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= BROADCAST_TERMS else None)
+    found = materialize(texts.mapInArrow(lambda batches: _find(sent.value, batches), _FOUND), "pii")
+    pairs = disclosing(found, entities, texts.select("text"), found.count())
     reveal = (
-        found.filter(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
+        found.filter(F.size("terms") > 0).select("row", F.explode("entities").alias("entity"), "terms").select("row", "entity", F.explode("terms").alias("c")).select("row", "entity", "c.*")
         .join(pairs, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     )
     added = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
     whole = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(added, ","))
-    return found.join(reveal, "row", "left").select(
+    return found.drop("terms").join(reveal, "row", "left").select(
         F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), F.when(F.col("terms").isNull(), F.col("base")).otherwise(whole).alias("spans"),
     )
 

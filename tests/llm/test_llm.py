@@ -136,6 +136,16 @@ def test_pii_terms(spark, monkeypatch):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    """A name far from the address, and again later in the text, is found in every document that holds both."""
+    gap = " ".join(["the of and to in it is"] * 4)
+    rows = [(i, f"Zebulon {gap} boss@corp.example.com {gap} unit{i} Zebulon", "s") for i in range(8)] + [(100 + i, gap, "s") for i in range(200)]
+    got = {x.doc_id: x for x in pii.find_pii(table(spark, rows)).collect()}
+    found = [rows[3][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[3].spans.split(",")) if k == "term"]
+    assert found == ["Zebulon", "Zebulon"] and got[100].spans == ""
+    assert "Zebulon" not in pii.sanitise(rows[3][1], got[3].spans)
+
+
 def brute_near(rows, width, percent):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
