@@ -483,7 +483,7 @@ def _svd(spark, sf):
 def _tensors(spark, sf):
     from ..operators import tensors
 
-    return tidy(spark.createDataFrame(tensors.decompositions(R.derived_reads(spark, sf), 64, ranks=(5, 10), first=200)))
+    return tidy(spark.createDataFrame(tensors.decompositions(R.derived_reads(spark, sf), 64)))
 
 
 _QUERIES["en18_svd_ranks"] = _svd

@@ -84,3 +84,15 @@ def test_long_reads(spark):
     assert [(r.read_idx, r.part, r.sequence, r.quality) for r in R.split_long(df, 3).orderBy("read_idx", "part").collect()] == [(0, 0, "ACG", "III"), (0, 1, "TAC", "III"), (0, 2, "G", "I"), (1, 0, "", "")]
     with pytest.raises(Exception, match="longer"):
         pairs.preprocess(df, longest=5).collect()
+
+
+def test_decompositions_of_all_reads(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, "".join(r.choice(list("ACGTN"), 12)), "".join(chr(33 + q) for q in r.integers(0, 41, 12))) for i in range(2500)]
+    reads = spark.createDataFrame(rows, "read_idx long, sequence string, quality string")
+    got = tensors.decompositions(reads, 12).set_index("method")
+    assert list(got.index) == ["cp5", "cp10", "cp20", "cp50", "tucker"]
+    t = tensors.tensor(reads.toPandas(), 12)
+    for method, approx in (("cp5", tensors.cp(t, 5)), ("cp10", tensors.cp(t, 10)), ("tucker", tensors.tucker(t, (50, 12, 5)))):
+        for key, value in tensors.quality_of(t, approx).items():
+            assert abs(got.loc[method, key] - value) < 1e-4, (method, key)
