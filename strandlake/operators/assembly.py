@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..session import keep
+from .reorder import number
 
 _RC = str.maketrans("ACGT", "TGCA")
 
@@ -61,7 +62,7 @@ def unitigs(counts: DataFrame, k: int) -> DataFrame:
     last = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("node", k, 1).alias("b")))), lambda x: x["b"])
     texts = paths.groupBy("head").agg(last.alias("ends")).select(F.concat(F.substring("head", F.lit(1), F.lit(k - 1)), F.array_join("ends", "")).alias("raw"))
     texts = texts.select(F.least("raw", S.reverse_complement("raw")).alias("sequence")).distinct()
-    return texts.withColumn("contig_id", F.row_number().over(Window.orderBy(F.length("sequence").desc(), "sequence")) - 1).select(F.col("contig_id").cast("long").alias("contig_id"), "sequence")
+    return number(texts, [F.length("sequence").desc(), F.col("sequence")], "contig_id", ["sequence"]).select("contig_id", "sequence")
 
 
 def greedy_contigs(reads: DataFrame, components: DataFrame, least: int = 31, most: int = 4, steps: int = 10_000) -> DataFrame:
@@ -109,9 +110,10 @@ def greedy_contigs(reads: DataFrame, components: DataFrame, least: int = 31, mos
     return rows.groupBy("label").applyInPandas(run, "contig_id long, sequence string, reads array<long>")
 
 
-def seeds(counts: DataFrame, least: int = 3, most: int = 50_000) -> DataFrame:
-    """The k-mers to start templates from: frequent ones, most frequent first.  A bounded top-k."""
-    return counts.filter(F.col("count") >= least).orderBy(F.col("count").desc(), "kmer").limit(most)
+def seeds(counts: DataFrame, least: int = 3, most: int | None = 50_000) -> DataFrame:
+    """The k-mers to start templates from: frequent ones, most frequent first; a top-k where ``most`` is given."""
+    found = counts.filter(F.col("count") >= least)
+    return found.orderBy(F.col("count").desc(), "kmer").limit(most) if most else found
 
 
 def correct_kmers(counts: DataFrame, weak: int = 2, strong: int = 3) -> DataFrame:
@@ -125,34 +127,99 @@ def correct_kmers(counts: DataFrame, weak: int = 2, strong: int = 3) -> DataFram
     return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("kmer", "corrected")
 
 
+def best_steps(counts: DataFrame, k: int) -> DataFrame:
+    """(node, next): from each oriented k-mer the most frequent one that continues it; of equals the first base."""
+    nodes = counts.select(F.col("kmer").alias("node")).unionByName(counts.select(S.reverse_complement("kmer").alias("node"))).distinct()
+    step = nodes.select("node", F.explode(F.array(*[F.lit(b) for b in S.BASES])).alias("base")).withColumn("next", F.concat(F.substring("node", F.lit(2), F.lit(k - 1)), "base"))
+    known = step.withColumn("kmer", F.least("next", S.reverse_complement("next"))).join(counts.select("kmer", "count"), "kmer")
+    # the largest count, and of those the smallest base: letters of DNA sort as their order
+    return known.groupBy("node").agg(F.min_by("next", F.struct((-F.col("count")).alias("c"), "base")).alias("next"))
+
+
+STRIDE_DOUBLINGS = 5
+
+
+def paths(counts: DataFrame, k: int, doublings: int = STRIDE_DOUBLINGS) -> DataFrame:
+    """(node, path): the next ``2**doublings`` best steps from each oriented k-mer, fewer where they end."""
+    found = keep(best_steps(counts, k).select("node", F.array("next").alias("path")), "steps")
+    for n in range(doublings):
+        more = found.select(F.col("node").alias("end"), F.col("path").alias("more"))
+        whole = F.when(F.size("path") == 1 << n, F.element_at("path", -1))
+        found = keep(found.withColumn("end", whole).join(more, "end", "left").select("node", F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")), "steps")
+    return found
+
+
+def _walk_right(rows: DataFrame, steps: DataFrame, k: int, reach: int, stride: int = 1 << STRIDE_DOUBLINGS) -> DataFrame:
+    """``rows`` (name, node, kmers) walked to the right from ``node``: (name, kmers, text) with the bases added.
+
+    A walk ends where there is no neighbour, where the best one is in ``kmers``, and after ``reach`` bases.  All rows walk
+    at once, ``stride`` steps a join.
+    """
+    walking = keep(rows.select("name", "node", "kmers", F.lit("").alias("text")), "walk")
+    ended = []
+    while True:
+        ahead = F.slice(F.coalesce("path", F.array().cast("array<string>")), F.lit(1), reach - F.length("text"))
+        canon = lambda x: F.least(x, S.reverse_complement(x))
+        moved = walking.join(steps, "node", "left").withColumn("path", ahead).withColumn("own", F.transform("path", canon))
+        again = lambda x, i: F.when(F.array_contains("kmers", x) | (F.array_position("own", x) <= i), i)
+        moved = moved.withColumn("good", F.coalesce(F.array_min(F.transform("own", again)), F.size("own")))
+        moved = moved.select(
+            "name", F.when(F.col("good") == stride, F.element_at("path", -1)).alias("node"), F.concat("kmers", F.slice("own", F.lit(1), F.col("good"))).alias("kmers"),
+            F.concat("text", F.array_join(F.transform(F.slice("path", F.lit(1), F.col("good")), lambda x: F.substring(x, k, 1)), "")).alias("text"),
+        )
+        moved = keep(moved, "walk")
+        ended.append(moved.filter("node is null").select("name", "kmers", "text"))
+        walking = moved.filter("node is not null")
+        if walking.isEmpty():
+            break
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def walks(counts: DataFrame, seeds_: DataFrame, k: int, reach: int = 5000) -> DataFrame:
+    """(seed, kmers, sequence): from each seed to the most frequent neighbour, right and then left, until there is none,
+    the best one was passed, or ``reach`` bases."""
+    steps = paths(counts, k)
+    right = _walk_right(seeds_.select(F.col("kmer").alias("name"), F.col("kmer").alias("node"), F.array("kmer").alias("kmers")), steps, k, reach)
+    # the left walk is a right walk of the mirrored seed
+    left = _walk_right(right.select("name", S.reverse_complement("name").alias("node"), "kmers"), steps, k, reach)
+    both = left.join(right.select("name", F.col("text").alias("right")), "name")
+    return both.select(F.col("name").alias("seed"), "kmers", F.concat(S.reverse_complement("text"), "name", "right").alias("sequence"))
+
+
 def templates(counts: DataFrame, k: int, shortest: int, least: int = 3, reach: int = 5000, most: int = 50_000) -> DataFrame:
-    """(contig_id, sequence): from each seed step to the most frequent neighbour, either way, until there is none
-    or it was passed; kept if at least ``shortest`` long.  The walk needs the k-mers that seeds can reach, so
-    it takes at most ``most`` of the most frequent k-mers to one task; that bound is the operator's definition."""
+    """(contig_id, sequence): walks of at least ``shortest`` bases, from seeds in the order of their counts.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["count", "kmer"], ascending=[False, True])
-        have = dict(zip(pdf["kmer"], pdf["count"]))
-        used, out = set(), []
-        canon = lambda x: min(x, _rc(x))
-        for seed in pdf["kmer"]:
-            if seed in used:
-                continue
-            passed = {seed}
-            text = seed
-            for side in ("right", "left"):
-                for _ in range(reach):
-                    tip = text[-(k - 1) :] if side == "right" else text[: k - 1]
-                    choices = [(canon(tip + b if side == "right" else b + tip), b) for b in S.BASES]
-                    choices = [(-have[c], S.BASES.index(b), c, b) for c, b in choices if c in have and c not in passed]
-                    if not choices:
-                        break
-                    _, _, c, b = min(choices)
-                    passed.add(c)
-                    text = text + b if side == "right" else b + text
-            used |= passed
-            if len(text) >= shortest:
-                out.append(text)
-        return pd.DataFrame({"contig_id": range(len(out)), "sequence": out})
-
-    return seeds(counts, least, most).withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "contig_id long, sequence string")
+    A seed that an earlier template holds is left out, and after ``most`` templates the rest, as the rule is
+    sequential.  Walks do not depend on each other, so all seeds walk together; then each round takes every seed whose
+    k-mer no earlier open walk holds, and closes the seeds that the taken ones hold, until no seed is open.
+    """
+    start = seeds(counts, least, None)
+    ranked = number(start, [F.col("count").desc(), F.col("kmer")], "rank", ["kmer"])
+    walked = walks(counts, start, k, reach).filter(F.length("sequence") >= shortest)
+    open_ = keep(walked.join(ranked.select(F.col("kmer").alias("seed"), "rank"), "seed"), "open")
+    taken = None
+    while True:
+        holds = open_.select("rank", F.explode("kmers").alias("seed"))
+        first = holds.groupBy("seed").agg(F.min("rank").alias("first"))
+        now = keep(open_.join(first, "seed").filter("first = rank").select("rank", "seed", "kmers", "sequence"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        closed = now.select(F.explode("kmers").alias("seed")).distinct()
+        open_ = keep(open_.join(closed, "seed", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    return number(taken.orderBy("rank").limit(most), [F.col("rank")], "contig_id", ["sequence"]).select("contig_id", "sequence")
+
+
+def extend_tips(templates_: DataFrame, counts: DataFrame, k: int, reach: int = 500) -> DataFrame:
+    """Templates of (contig_id, sequence), both ends walked on over the whole k-mer table by the same rule."""
+    steps = paths(counts, k)
+    rows = keep(templates_.select("contig_id", "sequence"), "tips")
+    for _ in range(2):  # right, then the mirrored template's right, which turns it back
+        inner = F.transform(F.sequence(F.lit(1), F.length("sequence") - k + 1), lambda i: F.substring("sequence", i, F.lit(k)))
+        start = rows.select(F.col("contig_id").alias("name"), F.substring("sequence", -k, k).alias("node"), F.transform(inner, lambda x: F.least(x, S.reverse_complement(x))).alias("kmers"))
+        longer = _walk_right(start, steps, k, reach).select(F.col("name").alias("contig_id"), "text")
+        rows = keep(rows.join(longer, "contig_id").select("contig_id", S.reverse_complement(F.concat("sequence", "text")).alias("sequence")), "tips")
+    return rows

@@ -11,7 +11,7 @@ from .kmers import minimizer_postings
 
 def usable_postings(reads: DataFrame, k: int = 21, w: int = 11, most: int = 50) -> DataFrame:
     """Postings of minimisers that 2 to ``most`` reads hold; repetitive ones go before any self-join."""
-    posts = minimizer_postings(reads, k, w)
+    posts = keep(minimizer_postings(reads, k, w), "postings")
     usable = posts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("hash")
     return posts.join(usable, "hash", "left_semi")
 

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def with_context(bases: DataFrame) -> DataFrame:
-    """Previous qualities and bases of every base of (read_idx, pos, base, phred)."""
-    w = Window.partitionBy("read_idx").orderBy("pos")
-    return bases.select(
-        "*", F.lag("phred", 1, 0).over(w).alias("q1"), F.lag("phred", 2, 0).over(w).alias("q2"), F.lag("base", 1, "N").over(w).alias("b1"),
-        F.lag("base", 2, "N").over(w).alias("b2"), F.lag("base", 3, "N").over(w).alias("b3"), F.lead("base", 1, "N").over(w).alias("n1"),
-    )
+from ..sources.reads import bases
 
 
 def entropy(rows: DataFrame, symbol: str) -> DataFrame:
@@ -57,25 +53,92 @@ def context_gains(rows: DataFrame, contexts: dict[str, Sequence[str]], symbol: s
     )
 
 
-def adaptive_bits(rows: DataFrame, context: Sequence[str], symbol: str, symbols: int, order: Sequence[str] = ("read_idx", "pos"), prior: int = 1, step: int = 1) -> DataFrame:
-    """Per row ``bits``: -log2 of the share that the symbol had in its context before it was counted."""
-    in_context = Window.partitionBy(*context).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    of_symbol = Window.partitionBy(*context, symbol).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen, all_seen = F.count("*").over(of_symbol), F.count("*").over(in_context)
-    return rows.withColumn("bits", -F.log2((prior + step * seen) / (prior * symbols + step * all_seen)))
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0, by Stirling's series moved up by 8: good to 1e-10."""
+    up = x + 8.0
+    low = F.log(x)
+    for k in range(1, 8):
+        low = low + F.log(x + float(k))
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, 3)) + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7))
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - low
+
+
+def rising_bits(start, n: Column, step: int = 1) -> Column:
+    """log2 of start * (start + step) * ... of ``n`` factors."""
+    first = start / F.lit(float(step)) if isinstance(start, Column) else F.lit(start / step)
+    return F.when(n > 0, n * math.log2(step) + (log_gamma(first + n) - log_gamma(first)) / math.log(2)).otherwise(0.0)
+
+
+def adaptive_cost(rows: DataFrame, context: Sequence[str], symbol: str, symbols: int, prior: int = 1, step: int = 1) -> DataFrame:
+    """One row: n, bits, bits_per_symbol of an adaptive model whose counts start at ``prior`` and grow by ``step``.
+
+    A symbol costs -log2 of the share that it had in its context before it was counted.  Over a context these shares
+    multiply to a quotient of rising products, whatever the order, so counts by context and symbol are enough.
+    """
+    cells = rows.groupBy(*context, symbol).agg(F.count("*").alias("n"))
+    by_context = cells.groupBy(*context).agg(F.sum("n").alias("n"), F.sum(rising_bits(prior, F.col("n"), step)).alias("gained"))
+    bits = F.sum(rising_bits(prior * symbols, F.col("n"), step) - F.col("gained"))
+    return by_context.agg(F.sum("n").alias("n"), bits.alias("bits"), (bits / F.sum("n")).alias("bits_per_symbol"))
+
+
+def adaptive_cost_by_block(rows: DataFrame, context: Sequence[str], symbol: str, symbols: int, every: int, prior: int = 1, step: int = 1) -> DataFrame:
+    """(block, n, bits) of the same model for each ``every`` reads, its counts carried from block to block.  Windows run
+    over blocks, not rows."""
+    cells = rows.groupBy(F.floor(F.col("read_idx") / every).alias("block"), *context, symbol).agg(F.count("*").alias("n"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum("n").over(before(*context, symbol)), F.lit(0))
+    gained = cells.withColumn("gained", rising_bits(F.lit(float(prior)) + step * seen, F.col("n"), step))
+    totals = gained.groupBy("block", *context).agg(F.sum("n").alias("n"), F.sum("gained").alias("gained"))
+    seen = F.coalesce(F.sum("n").over(before(*context)), F.lit(0))
+    spent = totals.withColumn("bits", rising_bits(F.lit(float(prior * symbols)) + step * seen, F.col("n"), step) - F.col("gained"))
+    return spent.groupBy("block").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"))
+
+
+def halved_bits(codes: np.ndarray, symbols: int, limit: int, prior: int = 1, step: int = 1, round_up: bool = False) -> float:
+    """Cost of one context's symbols in order; counts are halved as soon as their total reaches ``limit``: rounded
+    up, or down but to 1 at least.  Between two halvings the order does not count."""
+    counts, at, bits = np.full(symbols, prior, np.int64), 0, 0.0
+    while at < len(codes):
+        total = int(counts.sum())
+        part = np.bincount(codes[at : at + max(1, -(-(limit - total) // step))], minlength=symbols)
+        n = int(part.sum())
+        bits += np.log2(total + step * np.arange(n)).sum()
+        for c in np.flatnonzero(part):
+            bits -= np.log2(counts[c] + step * np.arange(part[c])).sum()
+        counts += step * part
+        at += n
+        if counts.sum() >= limit:
+            counts = (counts + 1) // 2 if round_up else np.maximum(counts >> 1, 1)
+    return float(bits)
+
+
+def halving_cost(rows: DataFrame, context: Sequence[str], symbol: str, symbols: int, limit: int, block: int, prior: int = 1, step: int = 1, round_up: bool = False, order: Sequence[str] = ("read_idx", "pos")) -> DataFrame:
+    """One row: n, bits, bits_per_symbol of the adaptive model that halves its counts at ``limit``.
+
+    A model starts anew with each ``block`` of reads, so blocks are coded in parallel and no context is longer than
+    its block.  Contexts that stay below the limit are costed from their counts; only the others are put in order.
+    """
+    keyed = rows.withColumn("__block", F.floor(F.col("read_idx") / block))
+    keys = ["__block", *context]
+    cells = keyed.groupBy(*keys, symbol).agg(F.count("*").alias("n"))
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(rising_bits(prior, F.col("n"), step)).alias("gained"))
+    reaches = F.col("n") * step + prior * symbols >= limit
+    calm = totals.filter(~reaches).select("n", (rising_bits(prior * symbols, F.col("n"), step) - F.col("gained")).alias("bits"))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        return pd.DataFrame({"n": [len(pdf)], "bits": [halved_bits(pd.factorize(pdf["__symbol"])[0], symbols, limit, prior, step, round_up)]})
 
-def adaptive_cost(rows: DataFrame, context: Sequence[str], symbol: str, symbols: int, **options) -> DataFrame:
-    """One row: n, bits, bits_per_symbol."""
-    coded = adaptive_bits(rows, context, symbol, symbols, **options)
-    return coded.agg(F.count("*").alias("n"), F.sum("bits").alias("bits"), (F.sum("bits") / F.count("*")).alias("bits_per_symbol"))
+    long = keyed.join(totals.filter(reaches).select(*keys), keys, "left_semi")
+    long = long.select(*keys, *[c for c in order if c not in context], F.col(symbol).alias("__symbol")).groupBy(*keys).applyInPandas(run, "n long, bits double")
+    bits = F.coalesce(F.sum("bits"), F.lit(0.0))
+    return calm.unionByName(long).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), bits.alias("bits"), (bits / F.sum("n")).alias("bits_per_symbol"))
 
 
-def convergence(coded: DataFrame, every: int) -> DataFrame:
-    """Cumulative and per-window bits a base at each ``every`` reads, from rows with ``bits``."""
-    window = coded.groupBy(F.floor(F.col("read_idx") / every).alias("window")).agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
-    running = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)  # over window totals
-    return window.select("window", "n", (F.col("bits") / F.col("n")).alias("window_bits"), (F.sum("bits").over(running) / F.sum("n").over(running)).alias("total_bits"))
+def convergence(blocks: DataFrame) -> DataFrame:
+    """Cumulative and own bits a base of each block of (block, n, bits)."""
+    running = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)  # over block totals
+    return blocks.select(F.col("block").alias("window"), "n", (F.col("bits") / F.col("n")).alias("window_bits"), (F.sum("bits").over(running) / F.sum("n").over(running)).alias("total_bits"))
 
 
 def occupancy(rows: DataFrame, context: Sequence[str], thresholds: Sequence[int]) -> DataFrame:
@@ -113,14 +176,13 @@ def noise_entropy(bases: DataFrame, textbook: bool = False) -> DataFrame:
     return bases.groupBy("pos").agg(F.avg(F.pow(F.lit(10.0), -F.col("phred") / 10.0)).alias("p")).select("pos", "p", (flip + (1 if textbook else -1) * p * F.log2(F.lit(3.0))).alias("h"))
 
 
-def quality_ngrams(bases: DataFrame, reads: DataFrame, width: int = 5) -> DataFrame:
+def quality_ngrams(reads: DataFrame, width: int = 5) -> DataFrame:
     """Counts of score triples by position and cluster of mean quality (ASCII mean div width)."""
     from ..functions.quality import mean_quality
 
-    cluster = reads.select("read_idx", F.floor(mean_quality("quality") / width).cast("int").alias("cluster"))
-    w = Window.partitionBy("read_idx").orderBy("pos")
-    grams = bases.select("read_idx", "pos", "phred", F.lead("phred", 1).over(w).alias("next1"), F.lead("phred", 2).over(w).alias("next2"))
-    return grams.join(cluster, "read_idx").groupBy("cluster", "pos", "phred", "next1", "next2").agg(F.count("*").alias("n"))
+    cluster = F.floor(mean_quality("quality") / width).cast("int")
+    rows = bases(reads.select(F.struct("read_idx", cluster.alias("cluster")).alias("read_idx"), "sequence", "quality"), following=2)
+    return rows.groupBy(F.col("read_idx.cluster").alias("cluster"), "pos", "phred", "next1", "next2").agg(F.count("*").alias("n"))
 
 
 def length_histogram(reads: DataFrame, most: int = 511) -> DataFrame:

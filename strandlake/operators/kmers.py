@@ -108,11 +108,12 @@ def capped_postings(index: DataFrame, cap: int) -> DataFrame:
     return index.withColumn("__n", F.row_number().over(Window.partitionBy("kmer").orderBy("contig_id", "position"))).filter(F.col("__n") <= cap).drop("__n")
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, k: int, most: int = 8, anchors: int = 4, step: int = 1) -> DataFrame:
+def map_reads(reads: DataFrame, contigs: DataFrame, k: int, most: int = 8, anchors: int = 4, step: int = 1, cap: int = 200) -> DataFrame:
     """Best place of each read: (read_idx, contig_id, position, is_rc, distance), null where it has none.
 
     Anchors are k-mers at equal distances; equi-join on the index, then Hamming distance over the whole
-    read; the smallest distance wins, then contig, position and strand.
+    read; the smallest distance wins, then contig, position and strand.  A k-mer offers its first ``cap`` places, so that
+    repeats don't multiply reads by contigs.
     """
     n = F.length("sequence")
     last = n - k
@@ -122,7 +123,7 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, most: int = 8, ancho
         .withColumn("raw", F.substring("sequence", F.col("offset") + 1, F.lit(k))).filter(~F.col("raw").rlike("[^ACGT]"))
         .withColumn("kmer", F.least("raw", S.reverse_complement("raw"))).withColumn("forward", F.col("raw") == F.col("kmer"))
     )
-    hits = seeds.join(reference_index(contigs, k, step), "kmer")
+    hits = seeds.join(capped_postings(reference_index(contigs, k, step), cap), "kmer")
     is_rc = F.col("forward") != F.col("is_forward")
     start = F.when(is_rc, F.col("position") - (n - k - F.col("offset"))).otherwise(F.col("position") - F.col("offset"))
     placed = hits.select("read_idx", "sequence", "contig_id", start.alias("position"), is_rc.alias("is_rc")).distinct()
@@ -172,18 +173,26 @@ def minimizer_postings(reads: DataFrame, k: int, w: int) -> DataFrame:
     return reads.select("read_idx", F.explode(S.minimizers("sequence", k, w)).alias("hash")).distinct()
 
 
-def overlap_candidates(reads: DataFrame, k: int, w: int, least: int = 31, most: int = 4, cap: int = 50) -> DataFrame:
-    """Pairs (a, b, shift, overlap, distance) where b extends a to the right: b's start lies ``shift`` bases
-    into a, they overlap by ``least`` bases or more, and differ at ``most`` places.  Same strand only."""
-    rows = reads.withColumn("sequence", F.upper("sequence")).select("read_idx", "sequence", F.explode(S.canonical_kmers("sequence", k)).alias("x")).select("read_idx", "sequence", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"))
+def overlap_candidates(reads: DataFrame, k: int, w: int, least: int = 31, most: int = 4, cap: int = 200) -> DataFrame:
+    """(a, b, is_rc, shift, overlap, distance): b, reverse-complemented where ``is_rc``, starts ``shift`` bases into a and
+    extends it to the right, or to the left where shift is negative; they overlap by ``least`` bases or more and
+    differ at ``most`` places.  Of a minimiser's reads the first ``cap`` meet."""
+    rows = reads.withColumn("sequence", F.upper("sequence")).select("read_idx", "sequence", F.explode(S.canonical_kmers("sequence", k)).alias("x")).select("read_idx", "sequence", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.is_forward").alias("forward"))
     picked = rows.join(minimizer_postings(reads, k, w), ["hash", "read_idx"], "left_semi")
     few = picked.withColumn("__n", F.row_number().over(Window.partitionBy("hash").orderBy("read_idx", "pos"))).filter(F.col("__n") <= cap)
-    a, b = (few.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("read_idx", "sequence", "pos")]) for x in "ab")
-    shift = F.col("pos_a") - F.col("pos_b")
-    pairs = a.join(b, "hash").filter((F.col("read_idx_a") != F.col("read_idx_b")) & (shift > 0)).select("read_idx_a", "read_idx_b", "sequence_a", "sequence_b", shift.alias("shift")).distinct()
-    overlap = F.length("sequence_a") - F.col("shift")
+    a, b = (few.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("read_idx", "sequence", "pos", "forward")]) for x in "ab")
+    is_rc = F.col("forward_a") != F.col("forward_b")
+    oriented = F.when(is_rc, F.length("sequence_b") - F.col("pos_b") - k).otherwise(F.col("pos_b"))
+    met = a.join(b, "hash").filter(F.col("read_idx_a") != F.col("read_idx_b"))
+    pairs = met.select("read_idx_a", "read_idx_b", "sequence_a", F.when(is_rc, S.reverse_complement("sequence_b")).otherwise(F.col("sequence_b")).alias("sequence_b"), is_rc.alias("is_rc"), (F.col("pos_a") - oriented).alias("shift")).distinct()
+    right = F.col("shift") >= 0
+    overlap = F.when(right, F.length("sequence_a") - F.col("shift")).otherwise(F.length("sequence_b") + F.col("shift"))
+    other = F.when(right, F.length("sequence_b")).otherwise(F.length("sequence_a"))
+    extends = (F.when(right, F.length("sequence_b") > F.col("overlap")).otherwise(True)) & (F.col("overlap") <= other)
+    start = lambda c: F.when(right if c == "b" else ~right, F.lit(1)).otherwise(F.abs("shift") + 1)
+    part = lambda c: F.substring(f"sequence_{c}", start(c), F.col("overlap"))
     return (
-        pairs.withColumn("overlap", overlap).filter((F.col("overlap") >= least) & (F.length("sequence_b") > F.col("overlap")))
-        .withColumn("distance", S.hamming_within(F.substring("sequence_a", F.col("shift") + 1, F.col("overlap")), F.substring("sequence_b", F.lit(1), F.col("overlap")), most))
-        .filter("distance is not null").select(F.col("read_idx_a").alias("a"), F.col("read_idx_b").alias("b"), "shift", "overlap", "distance")
+        pairs.withColumn("overlap", overlap).filter((F.col("overlap") >= least) & extends)
+        .withColumn("distance", S.hamming_within(part("a"), part("b"), most)).filter("distance is not null")
+        .select(F.col("read_idx_a").alias("a"), F.col("read_idx_b").alias("b"), "is_rc", "shift", "overlap", "distance")
     )

@@ -91,10 +91,9 @@ def rolling_consensus(reads: DataFrame, chains: DataFrame) -> DataFrame:
     return chains.join(reads.select("read_idx", "sequence"), "read_idx").groupBy("chain").applyInPandas(run, "read_idx long, consensus string, distance long")
 
 
-def quality_transitions(bases: DataFrame) -> DataFrame:
-    """(pos, before, phred, n): scores given the one before, by position."""
-    w = Window.partitionBy("read_idx").orderBy("pos")
-    return bases.withColumn("before", F.lag("phred", 1, 0).over(w)).groupBy("pos", "before", "phred").agg(F.count("*").alias("n"))
+def quality_transitions(rows: DataFrame) -> DataFrame:
+    """(pos, before, phred, n): scores given the one before, by position; from bases with their context."""
+    return rows.groupBy("pos", F.col("q1").alias("before"), "phred").agg(F.count("*").alias("n"))
 
 
 def _quantizer(p: np.ndarray, states: int) -> tuple[np.ndarray, float]:

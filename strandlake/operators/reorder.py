@@ -6,20 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import keep
 
 CHUNK = 2_500_000
 
 
-def _number(reads: DataFrame, keys: list[Column], chunk: int) -> DataFrame:
+def number(rows: DataFrame, keys: list[Column], name: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` with their place from 0 in the order of ``keys``, which must settle every tie: a range-partitioned sort,
+    then one count per partition; no task sees more than its range."""
+    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    laid = keep(laid, "ordered")
+    parts = sorted(laid.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("low")).collect(), key=lambda r: r["__part"])
+    before, shifts = 0, []
+    for r in parts:
+        shifts.append((r["__part"], before - r.low))
+        before += r.n
+    shift = F.broadcast(rows.sparkSession.createDataFrame(shifts, "__part int, __shift long"))  # a row per partition
+    return laid.join(shift, "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
+def _number(reads: DataFrame, keys: list[Column], chunk: int | None) -> DataFrame:
+    """Places within chunks of reads, or over the whole table where ``chunk`` is None."""
+    if chunk is None:
+        return number(reads, [*keys, F.col("read_idx")], "new_pos", ["read_idx"]).select(F.lit(0).cast("long").alias("chunk_id"), "new_pos", "read_idx")
     w = Window.partitionBy("chunk_id").orderBy(*keys, "read_idx")
     return reads.withColumn("chunk_id", F.floor(F.col("read_idx") / chunk)).withColumn("new_pos", (F.col("chunk_id") * chunk + F.row_number().over(w) - 1).cast("long")).select("chunk_id", "new_pos", "read_idx")
 
 
-def identity(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    return reads.select(F.floor(F.col("read_idx") / chunk).alias("chunk_id"), F.col("read_idx").alias("new_pos"), "read_idx")
+def identity(reads: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
+    return reads.select((F.floor(F.col("read_idx") / chunk) if chunk else F.lit(0).cast("long")).alias("chunk_id"), F.col("read_idx").alias("new_pos"), "read_idx")
 
 
-def similarity(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def similarity(reads: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """By smallest syncmer, its position, and mean quality; reads without one last."""
     keyed = reads.withColumn("__s", S.min_syncmer("sequence")).withColumn("__q", S.mean_byte("quality"))
     return _number(keyed, [F.col("__s.hash").asc_nulls_last(), F.col("__s.pos").asc_nulls_last(), F.col("__q")], chunk)
@@ -33,9 +51,9 @@ def similarity_global(reads: DataFrame, partitions: int | None = None) -> DataFr
     return spread.sortWithinPartitions(*keys).drop("__s", "__q")
 
 
-def center(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def center(reads: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """Reads with the same left centre window stand together at the first one's place."""
-    keyed = reads.withColumn("chunk_id", F.floor(F.col("read_idx") / chunk)).withColumn("__w", S.center_windows("sequence")["left"])
+    keyed = reads.withColumn("chunk_id", F.floor(F.col("read_idx") / chunk) if chunk else F.lit(0)).withColumn("__w", S.center_windows("sequence")["left"])
     group = F.when(F.col("__w").isNotNull(), F.min("read_idx").over(Window.partitionBy("chunk_id", "__w"))).otherwise(F.col("read_idx"))
     return _number(keyed.withColumn("__g", group), [F.col("__g")], chunk)
 
@@ -76,7 +94,7 @@ STRATEGIES = {
 }
 
 
-def by_strategy(reads: DataFrame, strategy: str, column: str = "quality", chunk: int = CHUNK) -> DataFrame:
+def by_strategy(reads: DataFrame, strategy: str, column: str = "quality", chunk: int | None = CHUNK) -> DataFrame:
     """Order by a named key of one column, or of both with ``column='both'``."""
     if strategy not in STRATEGIES:
         raise ValueError(f"sort strategy {strategy!r}")

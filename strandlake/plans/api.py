@@ -68,7 +68,7 @@ def compress(spark: SparkSession, source: str | list[str], target: str, options:
     elif options.local_reorder:
         encoding, order = "local_delta", "center"
     elif options.reorder:
-        encoding, order, chunk = "ordered", "similarity", options.chunk if options.reorder == "local" else 1 << 40
+        encoding, order, chunk = "ordered", "similarity", options.chunk if options.reorder == "local" else None
     elif options.inline_delta:
         encoding = "inline_delta"
     elif options.hints:
@@ -78,8 +78,8 @@ def compress(spark: SparkSession, source: str | list[str], target: str, options:
     archive.write_archive(reads, target, encoding, quality, options.quality_codec, order, chunk, options.fasta, options.level)
 
 
-def decompress(spark: SparkSession, source: str, target: str, compress_text: bool = False, level: int | None = None, single_file: bool = True) -> None:
-    """Text in the original order; ``-`` writes to standard output."""
+def decompress(spark: SparkSession, source: str, target: str, compress_text: bool = False, level: int | None = None, single_file: bool = False) -> None:
+    """Text in the original order, as ordered part files or one file; ``-`` writes to standard output."""
     meta = archive.read_meta(spark, source)
     reads = archive.read_archive(spark, source)
     if target == "-":
@@ -88,6 +88,15 @@ def decompress(spark: SparkSession, source: str, target: str, compress_text: boo
         fastq.write_fastq(reads, target, meta["fasta"], compress_text, level, single_file)
 
 
+#: fixed values: encodings and codecs that the reads of an archive can be decoded from one after another
+STREAMED_ENCODINGS = ("raw", "hints", "canonical")
+
+
+def can_stream(meta: dict) -> bool:
+    """Whether an archive's reads come back one by one, without a chunk's other reads, a model or an order."""
+    return meta["encoding_type"] in [archive.ENCODINGS[e] for e in STREAMED_ENCODINGS] and meta["quality_codec"] in (archive.QUALITY_CODECS["plain"], archive.QUALITY_CODECS["none"])
+
+
 def choose_quality_codec(reads, quality: str = "lossless", explicit: bool = False) -> str:
     """``context`` where reads are lossless and many, or where asked for; else ``plain``."""
     if quality != "lossless":

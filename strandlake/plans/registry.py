@@ -5,6 +5,10 @@ Numbers are widened to LONG and doubles rounded, so that both engines give one t
 
 from __future__ import annotations
 
+import functools
+import sys
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from ..functions import quality as Q
 from ..functions import sequence as S
 from ..operators import assembly, clusters, consensus, delta, entropy, kmers, pairs, reorder
 from ..sources import archive, fastq, reads as R
+from ..session import keep, shared_dir
+from . import api
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -101,15 +107,156 @@ _add("pr08_read_range", "SELECT read_idx, id, sequence FROM reads WHERE read_idx
 _add("pr09_split_long", f"""SELECT read_idx, {_long("p")} AS part, id, substr(sequence, 1 + 20 * p, 20) AS sequence, substr(quality, 1 + 20 * p, 20) AS quality
   FROM reads, unnest(range(0, (length(sequence) + 19) // 20)) t(p)""", lambda r: R.split_long(r, 20))
 
+# ---- files: write, then read back --------------------------------------------------------------
+
+
+def _file(spark) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/file-{uuid.uuid4().hex}"
+
+
+def _one_file(spark, folder: str, name: str) -> str:
+    """The only part file of ``folder``, under another name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = old.getFileSystem(conf)
+    part = [f.getPath() for f in fs.listStatus(old) if f.getPath().getName().startswith("part-")][0]
+    new = jvm.org.apache.hadoop.fs.Path(f"{folder}-{name}")
+    fs.rename(part, new)
+    return new.toString()
+
+
+def _text_round_trip(fasta: bool = False, name: str | None = None, **options):
+    def run(spark, sf_dir):
+        path = _file(spark)
+        fastq.write_fastq(R.derived_reads(spark, sf_dir), path, fasta, single_file=name is not None, **options)
+        return tidy(fastq.read_fastq(spark, _one_file(spark, path, name) if name else path, fasta))
+
+    return run
+
+
+# record numbers are counted from the file's start
+_READ_BACK = "SELECT row_number() OVER (ORDER BY read_idx) - 1 AS read_idx, id, sequence, {quality} AS quality FROM reads"
+for _n, _build, _quality in (
+    ("io01_fastq_scan", _text_round_trip(name="reads.fastq"), "quality"), ("io02_fasta_scan", _text_round_trip(fasta=True, name="reads.fasta"), "CAST(NULL AS VARCHAR)"),
+    ("io03_gzip_scan", _text_round_trip(name="reads.gz", compress=True), "quality"), ("io03_gzip_under_another_name", _text_round_trip(name="reads.fastq", compress=True, level=4), "quality"),
+    ("io04_standard_input", None, "quality"),
+):
+    _add(_n, _READ_BACK.format(quality=_quality), None)
+    _QUERIES[_n] = _build
+
+
+def _from_stdin(spark, sf_dir):
+    """Text of a file as standard input."""
+    path = _file(spark)
+    fastq.write_fastq(R.derived_reads(spark, sf_dir), path, single_file=True)
+    local = _one_file(spark, path, "stdin").removeprefix("file:")
+    before = sys.stdin
+    with open(local) as text:
+        sys.stdin = text
+        try:
+            return tidy(fastq.read_fastq(spark, "-"))
+        finally:
+            sys.stdin = before
+
+
+_QUERIES["io04_standard_input"] = _from_stdin
+
+
+def _parts_back(spark, sf_dir):
+    """Ordered part files of a parallel gzip sink, each a whole file of its own."""
+    path = _file(spark)
+    fastq.write_fastq(R.derived_reads(spark, sf_dir), path, compress=True, level=6)
+    return tidy(spark.read.text(path).groupBy((F.length("value") == 64).alias("full")).agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("letters")))
+
+
+_add("io11_parallel_gzip", f"""SELECT length(v) = 64 AS "full", count(*) AS lines, {_long("sum(length(v))")} AS letters FROM (SELECT id AS v FROM reads UNION ALL SELECT sequence FROM reads UNION ALL SELECT '+' FROM reads UNION ALL SELECT quality FROM reads) GROUP BY 1""", None)
+_QUERIES["io11_parallel_gzip"] = _parts_back
+
+
+def _archived(encoding: str, **options):
+    def run(spark, sf_dir):
+        path = _file(spark)
+        archive.write_archive(R.derived_reads(spark, sf_dir), path, encoding, chunk=options.pop("chunk", 5000), **options)
+        return tidy(archive.read_archive(spark, path))
+
+    return run
+
+
+for _n in archive.ENCODINGS:
+    _add(f"io06_archive_{_n}", "SELECT read_idx, id, sequence, quality FROM reads", None)
+    _QUERIES[f"io06_archive_{_n}"] = lambda spark, sf, e=_n: _archived(e)(spark, sf)
+_add("io06_archive_global_order", "SELECT read_idx, id, sequence, quality FROM reads", None)
+_QUERIES["io06_archive_global_order"] = lambda spark, sf: _archived("ordered", order="similarity", chunk=None)(spark, sf)
+_add("io08_archive_quality_codecs", "SELECT codec, read_idx, quality FROM reads, (VALUES ('plain'), ('delta'), ('model')) t(codec)", None)
+_QUERIES["io08_archive_quality_codecs"] = lambda spark, sf: functools.reduce(
+    DataFrame.unionByName, [_archived("raw", quality_codec=c)(spark, sf).select(F.lit(c).alias("codec"), "read_idx", "quality") for c in ("plain", "delta", "model")])
+#: fields of a description, each with a value that is not valid
+_DAMAGE = {"magic": "XX", "version": 9, "encoding_type": 77, "binning": 99, "quality_codec": 42, "num_reads": -1, "chunk": 0}
+
+
+def _damaged(spark, sf_dir):
+    """Which damaged descriptions are refused."""
+    path = _file(spark)
+    archive.write_archive(R.derived_reads(spark, sf_dir), path, "raw")
+    meta, out = archive.read_meta(spark, path), [("whole", False)]
+    for field, value in _DAMAGE.items():
+        bad = f"{path}-{field}"
+        spark.createDataFrame([tuple((meta | {field: value}).values())], archive.META).coalesce(1).write.json(f"{bad}/meta")
+        try:
+            archive.read_meta(spark, bad)
+            out.append((field, False))
+        except ValueError:
+            out.append((field, True))
+    return spark.createDataFrame(out, "field string, refused boolean")
+
+
+_SQL["io09_damaged_headers"] = "SELECT * FROM (VALUES ('whole', false), " + ", ".join(f"('{f}', true)" for f in _DAMAGE) + ") t(field, refused)"
+_QUERIES["io09_damaged_headers"] = _damaged
+
+
+def _refusals(cases):
+    """(name, refused) of calls that must or must not raise ValueError."""
+    out = []
+    for name, call in cases:
+        try:
+            call()
+            out.append((name, False))
+        except ValueError:
+            out.append((name, True))
+    return out
+
+
+_SQL["io15_several_inputs"] = "SELECT * FROM (VALUES ('none', true), ('two', true)) t(files, refused)"
+_QUERIES["io15_several_inputs"] = lambda spark, sf: spark.createDataFrame(_refusals([("none", lambda: fastq.read_fastq(spark, [])), ("two", lambda: fastq.read_fastq(spark, ["a", "b"]))]), "files string, refused boolean")
+_WAYS = {"reorder": "local", "local_reorder": True, "ultra": 3, "inline_delta": True, "hints": True, "canonical": True}
+_SQL["pr04_option_pairs"] = f"WITH w AS (SELECT unnest({list(_WAYS)}) AS name) SELECT a.name AS a, b.name AS b, a.name <> b.name AS refused FROM w a, w b"
+_QUERIES["pr04_option_pairs"] = lambda spark, sf: spark.createDataFrame([(a, b, bad) for a in _WAYS for b in _WAYS for _, bad in _refusals([(a, api.Options(**{a: _WAYS[a], b: _WAYS[b]}).check)])], "a string, b string, refused boolean")
+
+
+def _streamable(spark, sf_dir):
+    """Archives by encoding and quality codec, and whether their reads come back one by one."""
+    first = R.first_reads(R.derived_reads(spark, sf_dir), 50)
+    out = []
+    for e in archive.ENCODINGS:
+        for c in ("plain", "delta", "model"):
+            path = _file(spark)
+            archive.write_archive(first, path, e, quality_codec=c)
+            out.append((e, c, api.can_stream(archive.read_meta(spark, path))))
+    return spark.createDataFrame(out, "encoding string, codec string, streams boolean")
+
+
+_SQL["pr05_streaming_eligibility"] = f"SELECT e AS encoding, c AS codec, c = 'plain' AND e IN ('raw', 'hints', 'canonical') AS streams FROM (SELECT unnest({list(archive.ENCODINGS)}) AS e), (SELECT unnest(['plain', 'delta', 'model']) AS c)"
+_QUERIES["pr05_streaming_eligibility"] = _streamable
+
 # ---- sequence functions -------------------------------------------------------------------------
 
 _add("sq01_reverse_complement", f"SELECT read_idx, {_rc('sequence')} AS rc FROM reads", lambda r: r.select("read_idx", S.reverse_complement("sequence").alias("rc")))
 _add("sq02_reverse_complement_keep", f"SELECT read_idx, {_rc('translate(sequence, chr(78), chr(45))')} AS rc FROM reads", lambda r: r.select("read_idx", S.reverse_complement(F.translate("sequence", "N", "-"), keep_unknown=True).alias("rc")))
 _add("sq03_canonical", f"SELECT read_idx, least(sequence, {_rc('sequence')}) AS sequence, {_rc('sequence')} < sequence AS was_reversed FROM reads", lambda r: r.select("read_idx", S.canonical("sequence").alias("c")).select("read_idx", "c.*"))
 _add("sq04_restore_strand", "SELECT read_idx, sequence AS restored FROM reads", lambda r: r.select("read_idx", S.canonical("sequence").alias("c")).select("read_idx", S.restore_strand("c.sequence", F.col("c.was_reversed")).alias("restored")))
-_add("sq05_kmer_hash", f"SELECT read_idx, CASE WHEN NOT regexp_matches(substr(sequence, 1, 15), '[^ACGT]') THEN {_hash('substr(sequence, 1, 15)', 15)} END AS hash FROM reads", lambda r: r.select("read_idx", S.kmer_hash(F.substring("sequence", 1, 15)).alias("hash")))
-_add("sq06_rc_hash", f"SELECT read_idx, pos, {_hash(_rc('raw'), 15)} AS hash FROM km WHERE pos % 7 = 0", lambda r: kmers.explode_kmers(r, 15, 7).select("read_idx", "pos", S.reverse_complement_hash(S.kmer_hash("kmer"), 15).alias("hash")), extra=_kmer_cte(15))
-_add("sq07_hash_to_kmer", "SELECT read_idx, pos, raw AS kmer FROM km WHERE pos % 5 = 0", lambda r: kmers.explode_kmers(r, 21, 5).select("read_idx", "pos", S.hash_kmer(S.kmer_hash("kmer"), 21).alias("kmer")), extra=_kmer_cte(21))
+_add("sq05_kmer_hash", f"SELECT read_idx, pos, CASE WHEN NOT regexp_matches(raw, '[^ACGT]') THEN {_hash('raw', 15)} END AS hash FROM km_raw", lambda r: r.select("read_idx", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("sequence") - 14), lambda i: F.substring("sequence", i, F.lit(15)))).alias("pos", "raw")).select("read_idx", "pos", S.kmer_hash("raw").alias("hash")), extra=_kmer_cte(15))
+_add("sq06_rc_hash", f"SELECT read_idx, pos, {_hash(_rc('raw'), 15)} AS hash FROM km", lambda r: kmers.explode_kmers(r, 15).select("read_idx", "pos", S.reverse_complement_hash(S.kmer_hash("kmer"), 15).alias("hash")), extra=_kmer_cte(15))
+_add("sq07_hash_to_kmer", "SELECT read_idx, pos, raw AS kmer FROM km", lambda r: kmers.explode_kmers(r, 21).select("read_idx", "pos", S.hash_kmer(S.kmer_hash("kmer"), 21).alias("kmer")), extra=_kmer_cte(21))
 _add("sq08_canonical_kmers", f"SELECT read_idx, pos, {_hash('kmer', 21)} AS hash, raw = kmer AS is_forward FROM km", lambda r: r.select("read_idx", F.explode(S.canonical_kmers("sequence", 21)).alias("x")).select("read_idx", "x.pos", "x.hash", "x.is_forward"), extra=_kmer_cte(21))
 _add("sq09_hamming_within", """SELECT read_idx, CASE WHEN d <= 1 THEN d END AS distance FROM (SELECT m.read_idx, CAST(len([1 for j in range(1, 65) if substr(m.sequence, j, 1) <> substr(r.sequence, j, 1)]) AS BIGINT) AS d
   FROM mutated m JOIN reads r USING (read_idx))""", None)
@@ -177,17 +324,17 @@ _add("ql14_model_restore", "SELECT read_idx, quality FROM reads", lambda r: (lam
 
 
 def _contexts(r):
-    return entropy.with_context(R.bases(r))
+    return R.bases(r, context=True)
 
 
 def _context_id(rows):
     """Context of a score: position bin, previous score, steadiness, previous and present base."""
-    stable = (F.abs(F.col("q1") - F.col("q2")) <= 2).cast("int")
+    moving = (F.abs(F.col("q1") - F.col("q2")) > 2).cast("int")
     base = lambda c: F.instr(F.lit("ACGTN"), F.col(c)) - 1
-    return rows.withColumn("ctx", (((Q.position_bin("pos") * 50 + F.least("q1", F.lit(49))) * 2 + stable) * 25 + base("b1") * 5 + base("base")).cast("long"))
+    return rows.withColumn("ctx", (((Q.position_bin("pos") * 50 + F.least("q1", F.lit(49))) * 2 + moving) * 25 + base("b1") * 5 + base("base")).cast("long"))
 
 
-_CTX_SQL = "CAST(((least(pos // 5, 63) * 50 + least(q1, 49)) * 2 + CASE WHEN abs(q1 - q2) <= 2 THEN 1 ELSE 0 END) * 25 + (strpos('ACGTN', b1) - 1) * 5 + strpos('ACGTN', base) - 1 AS BIGINT)"
+_CTX_SQL = "CAST(((least(pos // 5, 63) * 50 + least(q1, 49)) * 2 + CASE WHEN abs(q1 - q2) > 2 THEN 1 ELSE 0 END) * 25 + (strpos('ACGTN', b1) - 1) * 5 + strpos('ACGTN', base) - 1 AS BIGINT)"
 _add("ql16_context_counts", f"SELECT {_CTX_SQL} AS ctx, phred, count(*) AS n FROM context GROUP BY 1, 2", lambda r: _context_id(_contexts(r)).groupBy("ctx", "phred").agg(F.count("*").alias("n")), extra=_CONTEXT)
 _ADAPT = "-log2((1 + count(*) OVER (PARTITION BY {c}, {s} ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / ({n} + count(*) OVER (PARTITION BY {c} ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"
 
@@ -200,11 +347,31 @@ def _kbits(df):
     return df.select("n", F.round(F.col("bits") / 1000, 3).alias("kbits"))
 
 
-_add("ql17_context_cost", _cost_sql("ctx", "phred", 41, f"(SELECT *, {_CTX_SQL} AS ctx FROM context)"), lambda r: _kbits(entropy.adaptive_cost(_context_id(_contexts(r)), ["ctx"], "phred", 41)), extra=_CONTEXT)
+#: fixed values: totals at which the models halve their counts
+CONTEXT_LIMIT, RELATIVE_LIMIT, COLUMN_LIMIT = 1 << 20, 1 << 15, 1 << 15
+BLOCK = 100_000
+
+
+def _halving_sql(keys: str, code: str, symbols: int, limit: int, block: int, prior: int, half: str, source: str) -> str:
+    """The model step by step: a list of bits and counts is folded over each context's symbols."""
+    counts = f"[a[i] + CASE WHEN i = x[1] + 2 THEN 1 ELSE 0 END for i in range(2, {symbols + 2})]"
+    return f"""SELECT {_long("sum(len(s))")} AS n, round(sum(list_reduce([[CAST(v AS DOUBLE)] for v in s], lambda a, x: list_concat([a[1] - log2(a[CAST(x[1] AS INT) + 2] / list_sum(a[2:]))],
+      CASE WHEN list_sum(a[2:]) + 1 >= {limit} THEN [{half} for c in {counts}] ELSE {counts} END), list_concat([CAST(0 AS DOUBLE)], [CAST({prior} AS DOUBLE) for i in range({symbols})]))[1]) / 1000, 3) AS kbits
+      FROM (SELECT list({code} ORDER BY read_idx, pos) AS s FROM {source} GROUP BY read_idx // {block}, {keys})"""
+
+
+_DOWN, _UP = "greatest(floor(c / 2), 1)", "floor((c + 1) / 2)"
+_add("ql17_context_cost", _cost_sql(f"read_idx // {BLOCK}, ctx", "phred", 41, f"(SELECT *, {_CTX_SQL} AS ctx FROM context)"), lambda r: _kbits(entropy.halving_cost(_context_id(_contexts(r)), ["ctx"], "phred", 41, CONTEXT_LIMIT, BLOCK)), extra=_CONTEXT)
+_add("ql17_halved_context_cost", _halving_sql("q1", "phred", 41, 400, 500, 1, _DOWN, "context"), lambda r: _kbits(entropy.halving_cost(_contexts(r), ["q1"], "phred", 41, 400, 500)), extra=_CONTEXT)
 _add("ql18_alphabet", "SELECT phred, count(*) AS n, row_number() OVER (ORDER BY phred) - 1 AS code FROM bases GROUP BY phred", lambda r: R.bases(r).groupBy("phred").agg(F.count("*").alias("n")).withColumn("code", F.row_number().over(Window.orderBy("phred")) - 1), extra=_BASES)
 _add("ql20_mean_sorted", f"SELECT read_idx // 5000 AS chunk_id, (read_idx // 5000) * 5000 + row_number() OVER (PARTITION BY read_idx // 5000 ORDER BY list_sum(c) // len(c), read_idx) - 1 AS new_pos, read_idx FROM (SELECT read_idx, {_codes('quality')} AS c FROM reads)", lambda r: reorder.mean_sorted(r, 5000))
+def _relative(r):
+    return _contexts(r).withColumn("p", Q.relative_bin("pos", F.lit(64))).withColumn("q", F.least("q1", F.lit(40)))
+
+
 _add("ql22_simple_context", "SELECT CASE WHEN pos < 8 THEN pos ELSE 8 + pos // 8 END AS p, least(q1, 15) AS q, phred, count(*) AS n FROM context GROUP BY 1, 2, 3", lambda r: _contexts(r).groupBy(Q.simple_position_bin("pos").alias("p"), F.least("q1", F.lit(15)).alias("q"), "phred").agg(F.count("*").alias("n")), extra=_CONTEXT)
-_add("ql23_relative_context_cost", _cost_sql("p, q, base", "phred", 41, "(SELECT *, least(pos * 20 // 64, 19) AS p, least(q1, 40) AS q FROM context)"), lambda r: _kbits(entropy.adaptive_cost(_contexts(r).withColumn("p", Q.relative_bin("pos", F.lit(64))).withColumn("q", F.least("q1", F.lit(40))), ["p", "q", "base"], "phred", 41)), extra=_CONTEXT)
+_add("ql23_relative_context_cost", _cost_sql(f"read_idx // {BLOCK}, p, q, base", "phred", 41, "(SELECT *, least(pos * 20 // 64, 19) AS p, least(q1, 40) AS q FROM context)"), lambda r: _kbits(entropy.halving_cost(_relative(r), ["p", "q", "base"], "phred", 41, RELATIVE_LIMIT, BLOCK, round_up=True)), extra=_CONTEXT)
+_add("ql23_halved_relative_cost", _halving_sql("p, q, base", "phred", 41, 60, 5000, 1, _UP, "(SELECT *, least(pos * 20 // 64, 19) AS p, least(q1, 40) AS q FROM context)"), lambda r: _kbits(entropy.halving_cost(_relative(r), ["p", "q", "base"], "phred", 41, 60, 5000, round_up=True)), extra=_CONTEXT)
 _add("ql24_sequence_markov_cost", f"SELECT count(*) AS n, round(sum(bits) / 1000, 3) AS kbits FROM (SELECT -log2((10 + 4 * count(*) OVER (PARTITION BY b1, b2, p, base ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / (50 + 4 * count(*) OVER (PARTITION BY b1, b2, p ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS bits FROM (SELECT *, pos * 10 // 64 AS p FROM context))",
      lambda r: _kbits(entropy.adaptive_cost(_contexts(r).withColumn("p", F.floor(F.col("pos") * 10 / 64)), ["b1", "b2", "p"], "base", 5, prior=10, step=4)), extra=_CONTEXT)
 _add("ql26_run_lengths", "SELECT read_idx, CAST(len(regexp_extract_all(quality, 'I*[^I]')) + CASE WHEN quality LIKE '%I' THEN 1 ELSE 0 END AS BIGINT) AS runs, CAST(length(quality) - length(replace(quality, 'I', '')) AS BIGINT) AS letters FROM reads",
@@ -287,7 +454,7 @@ def _bytes_sql(value: str, order: str) -> str:
 
 _add("gr15_permutation_sizes", f"SELECT {_bytes_sql('read_idx', 'new_pos')} AS forward, {_bytes_sql('new_pos', 'read_idx')} AS inverse, 4 * count(*) AS raw, count(*) AS mean_key, 3 * count(*) AS mean_variance_key FROM o", lambda r: reorder.encoded_sizes(reorder.center(r, 5000)), extra=_GROUPED + f", o AS ({_ORDER.format(keys='g', source='grouped')})")
 _COUNTS = _kmer_cte(15) + ", counts AS (SELECT kmer, least(count(*), 65535) AS count FROM km GROUP BY kmer)"
-_add("gr16_template_seeds", "SELECT kmer, count FROM counts WHERE count >= 3 ORDER BY count DESC, kmer LIMIT 5000", lambda r: assembly.seeds(kmers.count_kmers(r, 15), 3, 5000), extra=_COUNTS)
+_add("gr16_template_seeds", "SELECT kmer, count FROM counts WHERE count >= 3 ORDER BY count DESC, kmer LIMIT 50000", lambda r: assembly.seeds(kmers.count_kmers(r, 15), 3, 50_000), extra=_COUNTS)
 _FREQ = _syncmer_cte() + ", hashes AS (SELECT read_idx, min(hash) AS hash FROM sy GROUP BY read_idx), hc AS (SELECT hash, count(*) AS n FROM hashes GROUP BY hash), cc AS (SELECT n, count(*) AS values FROM hc GROUP BY n)"
 
 
@@ -346,7 +513,7 @@ _QUERIES["as12_mismatches"] = lambda spark, sf: _encode(spark, sf)[0].filter("co
 _add("as13_decode_mapped", "SELECT read_idx, sequence FROM mutated", None)
 _QUERIES["as13_decode_mapped"] = lambda spark, sf: kmers.decode_mapped(*_encode(spark, sf))
 _add("as14_corrected_kmers", None, lambda r: assembly.correct_kmers(kmers.count_kmers(r, 15)), mutated=True)
-_add("as14_templates", None, lambda r: assembly.templates(kmers.count_kmers(r, 15), 15, 64))
+_add("as14_templates", None, lambda r: assembly.templates(keep(kmers.count_kmers(r, 15), "counts"), 15, 64))
 
 # ---- entropy and models ---------------------------------------------------------------------------------
 
@@ -384,7 +551,7 @@ _SPARK_PRESETS = {"none": "0", "position": "pos div 5", "previous": "q1", "previ
 for _n, _e in _PRESETS.items():
     _add(f"en09_preset_{_n}", _cost_sql("ctx", "phred", 41, f"(SELECT *, CASE WHEN pos = 0 THEN 0 ELSE {_e} END AS ctx FROM context)"), lambda r, e=_SPARK_PRESETS[_n]: _kbits(entropy.adaptive_cost(_contexts(r).withColumn("ctx", F.expr(f"case when pos = 0 then 0 else {e} end")), ["ctx"], "phred", 41)), extra=_CONTEXT)
 _add("en10_convergence", f"""SELECT "window", n, round(bits / n, 6) AS window_bits, round(sum(bits) OVER (ORDER BY "window") / sum(n) OVER (ORDER BY "window"), 6) AS total_bits FROM (SELECT read_idx // 1000 AS "window", count(*) AS n, sum(bits) AS bits FROM (SELECT read_idx, {_ADAPT.format(c='q1', s='phred', n=41)} AS bits FROM context) GROUP BY 1)""",
-     lambda r: entropy.convergence(entropy.adaptive_bits(_contexts(r), ["q1"], "phred", 41), 1000), extra=_CONTEXT)
+     lambda r: entropy.convergence(entropy.adaptive_cost_by_block(_contexts(r), ["q1"], "phred", 41, 1000)), extra=_CONTEXT)
 _add("en11_occupancy", f"SELECT CAST(threshold AS BIGINT) AS threshold, count(*) AS contexts, {_long('sum(n)')} AS observations FROM (SELECT count(*) AS n FROM context GROUP BY pos, q1), (VALUES (1), (10), (100), (1000)) t(threshold) WHERE n >= threshold GROUP BY 1", lambda r: entropy.occupancy(_contexts(r), ["pos", "q1"], [1, 10, 100, 1000]), extra=_CONTEXT)
 _add("en11_occupancy_median", "SELECT list_sort(list(n))[len(list(n)) // 2 + 1] AS median FROM (SELECT count(*) AS n FROM context GROUP BY pos, q1)", lambda r: entropy.occupancy_median(_contexts(r), ["pos", "q1"]), extra=_CONTEXT)
 _NEXT = _kmer_cte(6) + ", nb AS (SELECT substr(raw, 1, 5) AS kmer, substr(raw, 6, 1) AS base, count(*) AS n FROM km GROUP BY 1, 2)"
@@ -396,11 +563,20 @@ _add("en14_table_quality", f"SELECT {_long('sum(t)')} AS n, round((sum(t * log2(
 _add("en14_table_cost", f"SELECT {_long('sum(n)')} AS n, round(sum(n * -log2(n / t)) / 1000, 3) AS kbits FROM (SELECT n, sum(n) OVER (PARTITION BY kmer) AS t FROM nb)", lambda r: kmers.table_cost(kmers.next_base_counts(r, 5), r, 5).select("n", F.round(F.col("bits") / 1000, 3).alias("kbits")), extra=_NEXT)
 for _n, _sign in (("published", "-"), ("textbook", "+")):
     _add(f"en15_noise_entropy_{_n}", f"SELECT pos, round(p, 6) AS p, round(-(p * log2(p) + (1 - p) * log2(1 - p)) {_sign} p * log2(3), 6) AS h FROM (SELECT pos, avg(pow(10, -phred / 10.0)) AS p FROM bases GROUP BY pos)", lambda r, t=_n == "textbook": entropy.noise_entropy(R.bases(r), t), extra=_BASES)
-_add("en16_quality_ngrams", f"SELECT cluster, pos, phred, next1, next2, count(*) AS n FROM (SELECT read_idx, pos, phred, lead(phred, 1) OVER w AS next1, lead(phred, 2) OVER w AS next2 FROM bases WINDOW w AS (PARTITION BY read_idx ORDER BY pos)) JOIN (SELECT read_idx, {_long(f'list_sum({_codes(chr(113) + chr(117) + chr(97) + chr(108) + chr(105) + chr(116) + chr(121))}) // 64 // 5')} AS cluster FROM reads) USING (read_idx) GROUP BY ALL", lambda r: entropy.quality_ngrams(R.bases(r), r), extra=_BASES)
+_add("en16_quality_ngrams", f"SELECT cluster, pos, phred, next1, next2, count(*) AS n FROM (SELECT read_idx, pos, phred, lead(phred, 1) OVER w AS next1, lead(phred, 2) OVER w AS next2 FROM bases WINDOW w AS (PARTITION BY read_idx ORDER BY pos)) JOIN (SELECT read_idx, {_long(f'list_sum({_codes(chr(113) + chr(117) + chr(97) + chr(108) + chr(105) + chr(116) + chr(121))}) // 64 // 5')} AS cluster FROM reads) USING (read_idx) GROUP BY ALL", entropy.quality_ngrams, extra=_BASES)
 _add("en17_length_histogram", "SELECT CAST(l AS BIGINT) AS length, count(read_idx) AS n FROM range(512) t(l) LEFT JOIN reads ON length(sequence) = l GROUP BY 1", entropy.length_histogram)
 _add("en20_variance_explained", "SELECT round(1 - var_pop(phred - m) / var_pop(phred), 6) AS explained FROM (SELECT phred, avg(phred) OVER (PARTITION BY pos) AS m FROM bases)", lambda r: entropy.position_variance_explained(R.bases(r)), extra=_BASES)
-_add("en21_column_context_cost", "SELECT count(*) AS n, round(sum(bits) / 1000, 3) AS kbits FROM (SELECT -log2((4 + count(*) OVER (PARTITION BY pos, up, base ORDER BY read_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / (20 + count(*) OVER (PARTITION BY pos, up ORDER BY read_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS bits FROM (SELECT *, lag(base, 1, 'S') OVER (PARTITION BY pos, read_idx // 5000 ORDER BY read_idx) AS up FROM bases))",
-     lambda r: _kbits(entropy.adaptive_cost(R.bases(r).withColumn("up", F.lag("base", 1, "S").over(Window.partitionBy("pos", F.floor(F.col("read_idx") / 5000)).orderBy("read_idx"))), ["pos", "up"], "base", 5, order=["read_idx"], prior=4)), extra=_BASES)
+_UP_SQL = "(SELECT *, lag(base, 1, 'S') OVER (PARTITION BY pos, read_idx // 5000 ORDER BY read_idx) AS up FROM bases)"
+
+
+def _column_cost(r, limit, block):
+    up = F.lag("base", 1, "S").over(Window.partitionBy("pos", F.floor(F.col("read_idx") / 5000)).orderBy("read_idx"))
+    return _kbits(entropy.halving_cost(R.bases(r, False).withColumn("up", up), ["pos", "up"], "base", 5, limit, block, prior=4, order=["read_idx"]))
+
+
+_add("en21_column_context_cost", f"SELECT count(*) AS n, round(sum(bits) / 1000, 3) AS kbits FROM (SELECT -log2((4 + count(*) OVER (PARTITION BY read_idx // {BLOCK}, pos, up, base ORDER BY read_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / (20 + count(*) OVER (PARTITION BY read_idx // {BLOCK}, pos, up ORDER BY read_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS bits FROM {_UP_SQL})",
+     lambda r: _column_cost(r, COLUMN_LIMIT, BLOCK), extra=_BASES)
+_add("en21_halved_column_cost", _halving_sql("up, pos", "strpos('ACGTN', base) - 1", 5, 60, 2000, 4, _DOWN, _UP_SQL), lambda r: _column_cost(r, 60, 2000), extra=_BASES)
 
 # ---- matrices and consensus -------------------------------------------------------------------------------
 
@@ -429,7 +605,7 @@ _add("sp04_match_candidates", f"""SELECT a.read_idx AS a, b.read_idx AS b, a.is_
 _add("sp05_rolling_consensus", None, lambda r: pairs.rolling_consensus(r, r.withColumn("__w", F.substring("sequence", 20, 24)).select(F.xxhash64("__w").alias("chain"), F.col("read_idx").alias("rank"), "read_idx")), mutated=True)
 _add("sp07_restore_order", "SELECT read_idx, id FROM reads", lambda r: reorder.apply(r, reorder.center(r, 5000)).select("read_idx", "id"))
 _HALF = f", o AS ({_ORDER.replace('5000', '1000000000').format(keys='quality', source='reads')}), h AS (SELECT count(*) // 2 AS n FROM reads), p AS (SELECT read_idx, row_number() OVER (ORDER BY new_pos) - 1 AS place, n FROM o, h WHERE read_idx < n)"
-_add("sp08_pair_order", "SELECT read_idx, place FROM p UNION ALL SELECT read_idx + n, place + n FROM p", lambda r: pairs.pair_order(reorder.by_strategy(r, "lexicographic", "quality", 1_000_000_000), r.count() // 2), extra=_HALF)
+_add("sp08_pair_order", "SELECT read_idx, place FROM p UNION ALL SELECT read_idx + n, place + n FROM p", lambda r: pairs.pair_order(reorder.by_strategy(r, "lexicographic", "quality", None), r.count() // 2), extra=_HALF)
 _add("sp09_pair_flags", f"""SELECT a.read_idx, CAST(CASE WHEN a.contig_id IS NOT NULL AND b.contig_id IS NOT NULL AND abs(b.position - a.position) < 32767 AND a.is_rc <> b.is_rc THEN 0 WHEN a.contig_id IS NOT NULL AND b.contig_id IS NOT NULL THEN 1
   WHEN a.contig_id IS NOT NULL THEN 2 WHEN b.contig_id IS NOT NULL THEN 3 ELSE 4 END AS BIGINT) AS flag
   FROM (SELECT m.read_idx, t.contig_id, t.position, t.is_rc FROM mutated m LEFT JOIN best t USING (read_idx)) a JOIN (SELECT m.read_idx - (SELECT count(*) // 2 FROM reads) AS read_idx, t.contig_id, t.position, t.is_rc FROM mutated m LEFT JOIN best t USING (read_idx)) b USING (read_idx)
@@ -457,14 +633,21 @@ _add("sp06_singleton_alignment", "SELECT read_idx, contig_id, CAST(position AS B
 _QUERIES["sp06_singleton_alignment"] = lambda spark, sf: tidy(pairs.singleton_alignment(R.derived_reads(spark, sf, True), _contigs(R.derived_reads(spark, sf))))
 _add("sp12_decode_reads", "SELECT m.read_idx, m.sequence FROM mutated m JOIN best b USING (read_idx)", None, extra=_MAP)
 _QUERIES["sp12_decode_reads"] = _decode_reads
-_add("sp10_quality_transitions", "SELECT pos, q1 AS before, phred, count(*) AS n FROM context GROUP BY 1, 2, 3", lambda r: pairs.quality_transitions(R.bases(r)), extra=_CONTEXT)
+_add("sp10_quality_transitions", "SELECT pos, q1 AS before, phred, count(*) AS n FROM context GROUP BY 1, 2, 3", lambda r: pairs.quality_transitions(_contexts(r)), extra=_CONTEXT)
 _add("sp11_threshold", f"SELECT read_idx, array_to_string([chr(CAST(33 + CASE WHEN x - 33 >= 30 THEN 35 ELSE 10 END AS INT)) for x in {_codes('quality')}], '') AS quality FROM reads", lambda r: r.select("read_idx", Q.threshold("quality", 30, 35, 10).alias("quality")))
 _add("ql15_model_row", f"SELECT CAST(count(*) AS BIGINT) AS read_length, string_agg(CAST(median AS VARCHAR), ',' ORDER BY pos) AS medians FROM model", lambda r: delta.model_row(delta.quality_model(r)).select("read_length", F.array_join(F.transform("medians", lambda x: x.cast("string")), ",").alias("medians")), extra=_MODEL)
 _add("ql15_model_read_back", "SELECT pos, median FROM model", lambda r: delta.model_table(delta.model_row(delta.quality_model(r))), extra=_MODEL)
-_add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", lambda r: r.agg(F.when(F.count("*") >= 100_000, "context").otherwise("plain").alias("codec")))
+_add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", None)
+_QUERIES["ql19_quality_codec"] = lambda spark, sf: spark.createDataFrame([(api.choose_quality_codec(R.derived_reads(spark, sf)),)], "codec string")
 _add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads WHERE read_idx % 10 = 0", delta.dictionary_sample)
 _add("ql25_prediction_residual", None, lambda r: delta.prediction_residual(_contexts(r), ["q1"]))
-_add("as10_overlap_candidates", None, lambda r: kmers.overlap_candidates(_shifted(r), 15, 11, 31, 4))
+_AS10 = ", shifted AS (SELECT read_idx, substr(sequence, CAST(read_idx % 3 * 8 + 1 AS INT), 48) AS sequence FROM reads)" + _kmer_cte(15, "shifted") + _LISTS + f""", picked AS (SELECT k.*, k.raw = k.kmer AS forward, s.sequence FROM (SELECT *, {_hash('kmer', 15)} AS hash FROM km) k SEMI JOIN posts USING (hash, read_idx) JOIN shifted s USING (read_idx)),
+  few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY read_idx, pos) AS n FROM picked) WHERE n <= 200),
+  met AS (SELECT DISTINCT a.read_idx AS a, b.read_idx AS b, a.forward <> b.forward AS is_rc, a.pos - CASE WHEN a.forward <> b.forward THEN 48 - b.pos - 15 ELSE b.pos END AS shift, a.sequence AS x, CASE WHEN a.forward <> b.forward THEN {_rc('b.sequence')} ELSE b.sequence END AS y FROM few a JOIN few b ON a.hash = b.hash AND a.read_idx <> b.read_idx),
+  parts AS (SELECT a, b, is_rc, shift, 48 - abs(shift) AS overlap, CASE WHEN shift > 0 THEN substr(x, shift + 1) ELSE substr(x, 1, 48 + shift) END AS u, CASE WHEN shift > 0 THEN substr(y, 1, 48 - shift) ELSE substr(y, 1 - shift) END AS v FROM met WHERE shift <> 0 AND abs(shift) <= 17),
+  apart AS (SELECT *, {_long("len([1 for j in range(1, overlap + 1) if substr(u, j, 1) <> substr(v, j, 1)])")} AS distance FROM parts)"""
+_add("as10_overlap_candidates", f"SELECT a, b, is_rc, {_long('shift')} AS shift, {_long('overlap')} AS overlap, distance FROM apart WHERE distance <= 4", lambda r: kmers.overlap_candidates(_shifted(r), 15, 11, 31, 4), extra=_AS10)
+_add("as14_tips", None, lambda r: (lambda c: assembly.extend_tips(assembly.templates(c.filter("count >= 2"), 15, 64), c, 15))(keep(kmers.count_kmers(r, 15), "counts")), mutated=True)
 _add("as11_greedy_contigs", None, lambda r: assembly.greedy_contigs(_shifted(r), clusters.clusters(_shifted(r), "selective", 15, 11)))
 
 

@@ -14,18 +14,21 @@ from ..functions import sequence as S
 from ..operators import delta, reorder
 
 MAGIC, VERSION = "SL", 1
+WHOLE = 1 << 40
 ENCODINGS = {"raw": 0, "hints": 4, "inline_delta": 5, "canonical": 6, "local_delta": 8, "ordered": 9}
 BINNINGS = {"lossless": 0, "illumina_bin": 1, "discard": 2, "binary": 3, "four_level": 4, "illumina_bin_std": 5}
 QUALITY_CODECS = {"plain": 0, "delta": 1, "model": 2, "none": 3}
 META = "magic string, version int, encoding_type int, flags int, binning int, quality_codec int, chunk long, num_reads long, const_seq_len int, const_qual_len int, fasta boolean"
 
 
-def write_archive(reads: DataFrame, path: str, encoding: str = "raw", quality: str = "lossless", quality_codec: str = "plain", order: str = "center", chunk: int = 2_500_000, fasta: bool = False, level: int = 3) -> None:
-    """Write ``reads``; overwrites nothing."""
+def write_archive(reads: DataFrame, path: str, encoding: str = "raw", quality: str = "lossless", quality_codec: str = "plain", order: str = "center", chunk: int | None = 2_500_000, fasta: bool = False, level: int = 3) -> None:
+    """Write ``reads``; overwrites nothing.  Without ``chunk`` an order is one over the whole table."""
     for name, table in ((encoding, ENCODINGS), (quality, BINNINGS), (quality_codec, QUALITY_CODECS)):
         if name not in table:
             raise ValueError(f"unknown option {name!r}")
-    spark = reads.sparkSession
+    if chunk is None and encoding != "ordered":
+        raise ValueError(f"{encoding} needs chunks")
+    spark, part, chunk = reads.sparkSession, chunk, chunk or WHOLE
     if fasta or quality == "discard":
         quality_codec = "none"
     kept = reads.withColumn("quality", F.lit(None).cast("string") if quality_codec == "none" else Q.quantize("quality", quality))
@@ -47,7 +50,7 @@ def write_archive(reads: DataFrame, path: str, encoding: str = "raw", quality: s
         orders = {"center": reorder.center, "similarity": reorder.similarity, "identity": reorder.identity}
         if order not in orders:
             raise ValueError(f"unknown order {order!r}")
-        placed = reorder.apply(body, orders[order](kept, chunk))
+        placed = reorder.apply(body, orders[order](kept, part))
         if encoding == "local_delta":
             upper = placed.withColumn("sequence", F.col("sequence"))
             d = delta.previous_read_delta(upper, "new_pos", chunk).select("read_idx", F.col("delta").alias("data"))

@@ -1,24 +1,29 @@
 """FASTQ and FASTA text: scan, sink, and the standard streams.
 
 Lines are numbered over the whole file from their order within each input block and one count per
-block, so plain files are read in parallel; gzip files, known by their first bytes, are one task each.
+block, so plain files are read in parallel; gzip files, known by their first bytes, are one task each, as a stream.
 """
 
 from __future__ import annotations
 
-import gzip
 import os
 import shutil
 import sys
 import tempfile
+import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 
+#: fixed values: names of the gzip levels 0 to 9
+GZIP_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
 def is_gzip(spark: SparkSession, path: str) -> bool:
     """First bytes 1f 8b, read through the file system that the path names."""
     jvm = spark._jvm
@@ -30,29 +35,60 @@ def is_gzip(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
+def _plain_name(spark: SparkSession, path: str) -> str:
+    """``path``, or for gzip under another name a copy in the shared folder that Spark's reader unpacks as a stream."""
+    if path.endswith(".gz") or not is_gzip(spark, path):
+        return path
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/unpacked-{uuid.uuid4().hex}.gz")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    return b.toString()
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines numbered from 0."""
-    if is_gzip(spark, path) and not path.endswith(".gz"):
-
-        def unpack(batches):
-            for pdf in batches:
-                for content in pdf["content"]:
-                    text = gzip.decompress(content).decode("latin-1").split("\n")
-                    if text and text[-1] == "":
-                        text.pop()
-                    for at in range(0, len(text), 100_000):
-                        part = text[at : at + 100_000]
-                        yield pd.DataFrame({"line": range(at, at + len(part)), "value": [x.rstrip("\r") for x in part]})
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "line long, value string")
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    """(line, value, first, last): lines numbered from 0, with the first line of their input block and of the next one."""
+    raw = spark.read.text(_plain_name(spark, path)).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
     blocks = sorted(raw.groupBy("block").agg(F.count("*").alias("n"), F.min("mid").alias("low")).collect(), key=lambda r: r.block)
     at, rows = 0, []
     for b in blocks:
-        rows.append((b.block, at - b.low))
+        rows.append((b.block, at - b.low, at, at + b.n))
         at += b.n
-    shift = spark.createDataFrame(rows, "block long, shift long")
-    return raw.join(F.broadcast(shift), "block").select((F.col("mid") + F.col("shift")).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))  # a row per input block
+    shift = spark.createDataFrame(rows, "block long, shift long, first long, last long")  # a row per input block
+    return raw.join(F.broadcast(shift), "block").select((F.col("mid") + F.col("shift")).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"), "first", "last")
+
+
+def _whole_records(size: int):
+    """Consecutive lines in, one row per ``size`` lines out."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            n = table.num_rows // size * size
+            line, value = table.column("line").to_numpy(), table.column("value")
+            if (line[:n:size] % size).any() or (line[size - 1 : n : size] - line[:n:size] != size - 1).any():
+                raise ValueError("lines of a block are out of order")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(line[:n:size] // size), *(value.take(pa.array(np.arange(k, n, size))).combine_chunks() for k in range(size)), pa.array(np.full(n // size, size))],
+                names=["read_idx", *(f"f{k}" for k in range(size)), "n"],
+            )
+            rest = table.slice(n).to_batches()[0] if n < table.num_rows else None
+        if rest is not None:
+            raise ValueError("lines of a block are out of order")
+
+    return run
+
+
+def _records(lines: DataFrame, size: int) -> DataFrame:
+    """(read_idx, f0, f1, ..., n).  Records that lie within an input block are put together where they are read; only
+    lines of records that cross a border are shuffled."""
+    start = F.floor(F.col("line") / size) * size
+    inside = (start >= F.col("first")) & (start + size <= F.col("last"))
+    schema = "read_idx long, " + ", ".join(f"f{k} string" for k in range(size)) + ", n long"
+    whole = lines.filter(inside).select("line", "value").mapInArrow(_whole_records(size), schema)
+    field = lambda k: F.max(F.when(F.col("line") % size == k, F.col("value"))).alias(f"f{k}")
+    split = lines.filter(~inside).groupBy(F.floor(F.col("line") / size).alias("read_idx")).agg(*[field(k) for k in range(size)], F.count("*").alias("n"))
+    return whole.unionByName(split)
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str], fasta: bool = False) -> DataFrame:
@@ -64,8 +100,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str], fasta: bool = False)
     if paths == "-":
         paths = spool_stdin(spark)
     size = 2 if fasta else 4
-    field = lambda k: F.max(F.when(F.col("line") % size == k, F.col("value"))).alias(f"f{k}")
-    rows = _lines(spark, paths).groupBy(F.floor(F.col("line") / size).alias("read_idx")).agg(*[field(k) for k in range(size)], F.count("*").alias("n"))
+    rows = _records(_lines(spark, paths), size)
     rows = rows.filter((F.col("n") > 1) | (F.col("f0") != ""))
     bad = lambda why: F.concat(F.lit(f"{why} in record "), F.col("read_idx").cast("string"))
     mark = ">" if fasta else "@"
@@ -96,7 +131,7 @@ def write_fastq(reads: DataFrame, path: str, fasta: bool = False, compress: bool
     if compress:
         writer = writer.option("compression", "gzip")
         if level is not None:
-            writer = writer.option("zlib.compress.level", {0: "NO_COMPRESSION", 1: "BEST_SPEED", 9: "BEST_COMPRESSION"}.get(level, "DEFAULT_COMPRESSION"))
+            writer = writer.option("zlib.compress.level", GZIP_LEVELS[level])
     writer.text(path)
 
 

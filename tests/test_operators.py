@@ -1,10 +1,14 @@
 """Properties of operators that SQL can't express."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import assembly, clusters, kmers, pairs, reorder, tensors
+from strandlake.operators import assembly, clusters, entropy, kmers, pairs, reorder, tensors
+from strandlake.sources import fastq
 from strandlake.sources import reads as R
 
 FLIP = str.maketrans("ACGT", "TGCA")
@@ -65,7 +69,7 @@ def test_pairs(spark):
 
 
 def test_codebook(spark, reads):
-    book = pairs.quality_codebook(pairs.quality_transitions(R.bases(reads)).filter("pos < 3"), 1.0)
+    book = pairs.quality_codebook(pairs.quality_transitions(R.bases(reads, context=True)).filter("pos < 3"), 1.0)
     assert ((book["high"] - book["low"]).between(0, 1)).all() and book["ratio"].between(0, 1).all()
     values, loss = pairs._quantizer(np.array([0.25, 0.25, 0, 0, 0.25, 0.25]), 2)
     assert values[0] == values[1] and values[4] == values[5] and loss < 0.6
@@ -96,3 +100,131 @@ def test_decompositions_of_all_reads(spark):
     for method, approx in (("cp5", tensors.cp(t, 5)), ("cp10", tensors.cp(t, 10)), ("tucker", tensors.tucker(t, (50, 12, 5)))):
         for key, value in tensors.quality_of(t, approx).items():
             assert abs(got.loc[method, key] - value) < 1e-4, (method, key)
+
+
+def genome_counts(spark, k):
+    """k-mer counts of reads with errors from a text with a repeat, both strands."""
+    r = random.Random(1)
+    text = "".join(r.choice("ACGT") for _ in range(300))
+    text += text[40:90] + "".join(r.choice("ACGT") for _ in range(100))
+    rows = []
+    for i in range(400):
+        at = r.randrange(len(text) - 40)
+        s = text[at : at + 40]
+        if r.random() < 0.3:
+            j = r.randrange(40)
+            s = s[:j] + r.choice("ACGT") + s[j + 1 :]
+        rows.append((i, s if r.random() < 0.5 else s.translate(FLIP)[::-1]))
+    return kmers.count_kmers(spark.createDataFrame(rows, "read_idx long, sequence string"), k)
+
+
+def brute_walk(have, node, passed, reach):
+    """Bases added to the right."""
+    out = ""
+    while len(out) < reach:
+        best = max(((have.get(canon(node[1:] + b), 0), -i, b) for i, b in enumerate("ACGT")))
+        after = node[1:] + best[2]
+        if not best[0] or canon(after) in passed:
+            break
+        passed.add(canon(after))
+        out += best[2]
+        node = after
+    return out
+
+
+def test_templates_against_walking_one_by_one(spark):
+    k, shortest = 9, 30
+    counts = genome_counts(spark, k)
+    have = {x.kmer: x["count"] for x in counts.collect()}
+    used, want = set(), []
+    for seed in sorted((s for s, n in have.items() if n >= 3), key=lambda s: (-have[s], s)):
+        if seed in used:
+            continue
+        passed = {seed}
+        right = brute_walk(have, seed, passed, 200)
+        left = brute_walk(have, seed.translate(FLIP)[::-1], passed, 200)
+        text = left.translate(FLIP)[::-1] + seed + right
+        if len(text) >= shortest:
+            want.append(text)
+            used |= {canon(text[i : i + k]) for i in range(len(text) - k + 1)}
+    got = sorted(assembly.templates(counts, k, shortest, reach=200).collect(), key=lambda x: x.contig_id)
+    assert [x.sequence for x in got] == want and [x.contig_id for x in got] == list(range(len(want))) and len(want) > 3
+    # tips: templates of the frequent k-mers walk on over all of them
+    frequent = counts.filter("count >= 4")
+    short = assembly.templates(frequent, k, shortest, reach=200).collect()
+    longer = {x.contig_id: x.sequence for x in assembly.extend_tips(spark.createDataFrame(short), counts, k, 50).collect()}
+    for x in short:
+        passed = {canon(x.sequence[i : i + k]) for i in range(len(x.sequence) - k + 1)}
+        right = brute_walk(have, x.sequence[-k:], passed, 50)
+        left = brute_walk(have, x.sequence[:k].translate(FLIP)[::-1], passed, 50)
+        assert longer[x.contig_id] == left.translate(FLIP)[::-1] + x.sequence + right
+
+
+def test_global_numbers(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice("abc")) for i in range(500)]
+    got = reorder.number(spark.createDataFrame(rows, "i long, c string").repartition(7), [F.col("c").desc(), F.col("i")], "place", ["i"]).collect()
+    order = sorted(rows, key=lambda x: (-ord(x[1]), x[0]))
+    assert sorted((x.place, x.i) for x in got) == [(k, i) for k, (i, _) in enumerate(order)]
+
+
+def test_log_gamma(spark):
+    xs = [0.25, 0.5, 1.0, 2.0, 3.5, 10.0, 41.0, 1e4, 1e9]
+    got = [x.g for x in spark.createDataFrame([(x,) for x in xs], "x double").select(entropy.log_gamma(F.col("x")).alias("g")).collect()]
+    assert np.allclose(got, [math.lgamma(x) for x in xs], rtol=1e-12, atol=1e-9)
+
+
+@pytest.mark.parametrize("up", [False, True])
+def test_halving_cost_step_by_step(spark, up):
+    r = random.Random(5)
+    rows = [(i, p, r.choice("xy"), r.choice([0, 0, 0, 1, 2])) for i in range(60) for p in range(9)]
+    bits = 0.0
+    models = {}
+    for i, p, c, s in rows:
+        counts = models.setdefault((i // 25, c), [2] * 4)
+        bits -= math.log2(counts[s] / sum(counts))
+        counts[s] += 3
+        if sum(counts) >= 50:
+            counts[:] = [(n + 1) // 2 if up else max(n >> 1, 1) for n in counts]
+    df = spark.createDataFrame(rows, "read_idx long, pos int, c string, s int")
+    got = entropy.halving_cost(df, ["c"], "s", 4, 50, 25, prior=2, step=3, round_up=up).first()
+    assert got.n == len(rows) and abs(got.bits - bits) < 1e-6
+    free = entropy.halving_cost(df, ["c"], "s", 4, 10**6, 25, prior=2, step=3).first()
+    blocks = [entropy.adaptive_cost(df.filter(f"floor(read_idx / 25) = {b}"), ["c"], "s", 4, prior=2, step=3).first().bits for b in range(3)]
+    assert abs(free.bits - sum(blocks)) < 1e-6
+    parts = entropy.adaptive_cost_by_block(df, ["c"], "s", 4, 25, prior=2, step=3).agg(F.sum("bits").alias("b")).first().b
+    assert abs(parts - entropy.adaptive_cost(df, ["c"], "s", 4, prior=2, step=3).first().bits) < 1e-6
+
+
+def test_context_columns(spark):
+    df = spark.createDataFrame([(1, "ACGT", "!5I#"), (2, "N", "I"), (3, "", ""), (4, "AC", None)], "read_idx long, sequence string, quality string")
+    got = [tuple(x) for x in R.bases(df, context=True, following=1).select("read_idx", "pos", "base", "phred", "q1", "q2", "b1", "b2", "b3", "n1", "next1").orderBy("read_idx", "pos").collect()]
+    assert got[:5] == [
+        (1, 0, "A", 0, 0, 0, "N", "N", "N", "C", 20), (1, 1, "C", 20, 0, 0, "A", "N", "N", "G", 40), (1, 2, "G", 40, 20, 0, "C", "A", "N", "T", 2),
+        (1, 3, "T", 2, 40, 20, "G", "C", "A", "N", None), (2, 0, "N", 40, 0, 0, "N", "N", "N", "N", None),
+    ]
+    assert [x[:4] for x in got[5:]] == [(4, 0, "A", None), (4, 1, "C", None)]
+
+
+def test_records_across_blocks(spark, tmp_path):
+    """Blocks of 64 bytes cut records anywhere."""
+    text = "".join(f"@r{i}\n{'ACGT' * (i % 5)}\n+\n{'IIII' * (i % 5)}\n" for i in range(300))
+    (tmp_path / "a.fastq").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = fastq.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("read_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(x.read_idx, x.id, x.sequence) for x in got] == [(i, f"@r{i}", "ACGT" * (i % 5)) for i in range(300)]
+
+
+def test_gzip_levels_differ(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(i, f"@r{i}", "".join(r.choice("ACGT") for _ in range(100)), "".join(r.choice("!5I#") for _ in range(100))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "read_idx long, id string, sequence string, quality string")
+    sizes = []
+    for level in (1, 3, 6, 9):
+        fastq.write_fastq(df, str(tmp_path / str(level)), compress=True, level=level, single_file=True)
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(level)).glob("part-*")))
+    assert len(set(sizes)) >= 3 and sizes == sorted(sizes, reverse=True)
