@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_or_empty
+from .common import free_name, materialize, slices, text_or_empty
 
 MAX_DEPTH = 14
 BUCKET_BYTES = 32 << 20
@@ -179,11 +179,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts: the one with the largest id."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    same = Window.partitionBy(id_col, "__sha").orderBy(F.lit(0))
+    """``docs`` with one row of each group of equal texts: the one with the largest id.
+
+    Rows are known by id and text, so an id that repeats with another text neither saves nor drops that row.
+    """
+    kept_id, kept_sha, sha, nth = (free_name(docs, n) for n in ("__kept_id", "__kept_sha", "__sha", "__nth"))
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    marked = docs.withColumn(sha, F.sha2(text_or_empty(text_col), 256))
+    same = Window.partitionBy(id_col, sha).orderBy(F.lit(0))
     return (
-        docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
-        .withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__n", F.row_number().over(same))
-        .filter("__n = 1").select(docs.columns)
+        marked.join(kept, marked[id_col].eqNullSafe(kept[kept_id]) & (marked[sha] == kept[kept_sha]), "left_semi")
+        .withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(docs.columns)
     )

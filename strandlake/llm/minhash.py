@@ -14,7 +14,9 @@
    ``TILE`` documents a side, where exact intersections of all full sets are one matrix product.
    A tile gives a spanning forest of its links.  Full sets are made again from whole texts.
 
-Null and empty texts have empty sets and link with nothing.  Rows that repeat an id count one by one.
+Null and empty texts have empty sets and link with nothing.  Rows are known by the hash of id and text, so rows that
+repeat an id count one by one.  A null id takes part in links; it is named by no component that has another id, and a
+component of null ids only has a null component_id.  Equal sets are one class.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Slice, _splitmix, blobs, materialize, slices, text_or_empty
+from .common import Slice, _splitmix, blobs, free_name, materialize, slices, text_or_empty
 from .components import connected_components
 
 LISTED, LEAST_LISTED = 32, 10
@@ -75,11 +77,11 @@ def _profile(width: int):
             prints = [_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
+                    piece.batch.column("id"), piece.batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
                     pa.array([p[1] for p in prints], pa.int64()), pa.array([s[:LISTED] for s in sets], pa.list_(pa.int64())),
                     pa.array([(s[:SKETCH] >> 32).astype(np.int32) for s in sets], pa.list_(pa.int32())),
                 ],
-                names=["id", "n", "f1", "f2", "listed", "sketch"],
+                names=["id", "key", "n", "f1", "f2", "listed", "sketch"],
             )
 
     return run
@@ -95,7 +97,7 @@ def _verify(width: int, percent: int):
             a, b = [], []
             columns = [piece.batch.column(c).to_pylist() for c in ("hub", "part", "role", "nid", "f1", "f2")]
             for s, h, part, role, nid, f1, f2 in zip(sets, *columns):
-                if _fingerprint(s) != (f1, f2):  # another row with the same id
+                if _fingerprint(s) != (f1, f2):  # another row with the same key
                     continue
                 if role == 0:
                     hub, own = (h, part), s
@@ -249,9 +251,10 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80):
         self.width, self.percent = width, percent
-        self.texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        self.rows = materialize(self.texts.mapInArrow(_profile(width), "id long, n long, f1 long, f2 long, listed array<long>, sketch array<int>"), "profiles")
-        nodes = self.rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("listed").alias("listed"), F.first("sketch").alias("sketch"))
+        text = text_or_empty(text_col)
+        self.texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text.alias("text"))
+        self.rows = materialize(self.texts.mapInArrow(_profile(width), "id long, key long, n long, f1 long, f2 long, listed array<long>, sketch array<int>"), "profiles")
+        nodes = self.rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("listed").alias("listed"), F.first("sketch").alias("sketch"))
         self.nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     def lists(self) -> DataFrame:
@@ -285,8 +288,8 @@ class NearDuplicates:
         size = pairs.groupBy("a").agg(F.count("*").alias("c"))
         dealt = pairs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / FAN)).cast("int"))
         roles = dealt.select(F.col("a").alias("hub"), "part", F.lit(0).alias("role"), F.col("a").alias("nid")).distinct().union(dealt.select("a", "part", F.lit(1), "b"))
-        named = roles.join(self.nodes.select("nid", "rep", "f1", "f2"), "nid")
-        full = named.join(self.texts, F.col("rep") == F.col("id")).select("hub", "part", "role", "nid", "f1", "f2", "text")
+        named = roles.join(self.nodes.select("nid", "key", "f1", "f2"), "nid")
+        full = named.join(self.texts.select("key", "text"), "key").select("hub", "part", "role", "nid", "f1", "f2", "text")
         n = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ordered = full.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "role")
         return materialize(ordered.mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
@@ -312,7 +315,7 @@ class NearDuplicates:
         n = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         met = rows.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_meet, "ta long, tb long, nids binary")
         met = met.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(_members, "ta long, tb long, nid long")
-        full = met.join(self.nodes.select("nid", "rep", "f1", "f2"), "nid").join(self.texts, F.col("rep") == F.col("id")).select("ta", "tb", "nid", "f1", "f2", "text")
+        full = met.join(self.nodes.select("nid", "key", "f1", "f2"), "nid").join(self.texts.select("key", "text"), "key").select("ta", "tb", "nid", "f1", "f2", "text")
         tiled = full.repartition(n, "ta", "tb").sortWithinPartitions("ta", "tb", "nid")
         return materialize(tiled.mapInArrow(_tiles(self.width, self.percent), "a long, b long"), "links")
 
@@ -325,19 +328,36 @@ class NearDuplicates:
         return connected_components(links.union(self._rest(marked)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``id_col``, n_shingles, component_id, kept for each row."""
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, key, n, label, component_id) of each row; without words label is null."""
     work = NearDuplicates(docs, id_col, text_col, width, percent)
     labels = work.components().withColumnRenamed("node", "nid")
     nodes = materialize(work.nodes.select("nid", "f1", "f2", "rep").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")), "named")
     lowest = nodes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = nodes.join(lowest, "label").select("f1", "f2", "component_id")
-    found = work.rows.filter("n > 0").select("id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("id", "n", "component_id")
-    alone = work.rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = nodes.join(lowest, "label").select("f1", "f2", "label", "component_id")
+    found = work.rows.filter("n > 0").select("id", "key", "n", "f1", "f2").join(named, ["f1", "f2"]).select("id", "key", "n", "label", "component_id")
+    alone = work.rows.filter("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("label"), F.col("id").alias("component_id"))
+    return found.union(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``id_col``, n_shingles, component_id, kept for each row."""
+    rows = _labelled(docs, id_col, text_col, width, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col, width, percent).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """``docs`` with one row of each component, the one with the smallest id (a null id is the largest), and all rows without words."""
+    kept_key, key, nth = (free_name(docs, n) for n in ("__kept_key", "__key", "__nth"))
+    rows = _labelled(docs, id_col, text_col, width, percent).filter("n > 0")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias(kept_key))
+    words = text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.filter(words).withColumn(key, row_key(id_col, text_col))
+    same = Window.partitionBy(key).orderBy(F.lit(0))
+    one = marked.join(kept, marked[key] == kept[kept_key], "left_semi").withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1)
+    return one.select(docs.columns).union(docs.filter(~words))

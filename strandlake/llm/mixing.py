@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 BLOCK = 16
 SHARD_ROWS = 65536
@@ -109,13 +109,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, to the nearest whole copy; documents without
     words, of which a mix in words takes nothing, stay as they are."""
+    row, words, times, copy = (free_name(docs, n) for n in ("__row", "__words", "__times", "__copy"))
     taken = mix(docs, id_col, text_col, source_col)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).cast("int")
-    copies = taken.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), times.alias("__times"))
-    # rows that repeat an id and a size share the copies that the mix gave them
-    copies = copies.groupBy("__id", "__size").agg(F.max("__times").alias("__times")).filter("__times > 0")
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).cast("int")
+    copies = taken.select(F.col(id_col).alias(row), F.col("size").alias(words), whole.alias(times))
+    # rows that repeat an id and a size share the larger number of copies that the mix gave them
+    copies = copies.groupBy(row, words).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
     return (
-        docs.join(copies, docs[id_col].eqNullSafe(copies["__id"]) & (size == F.col("__size")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+        docs.join(copies, docs[id_col].eqNullSafe(copies[row]) & (size == F.col(words)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
     )
