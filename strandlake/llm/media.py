@@ -1,8 +1,9 @@
 """Media columns: Netpbm and BMP to arrays, area resize by integral images, NPY tiles, difference hashes.
 
 Decoders take whole files as bytes and give uint8 or uint16 arrays of shape (height, width) or
-(height, width, 3); malformed input raises ``ValueError``, and ``decode_images`` gives it null columns
-with the reason in ``error``.
+(height, width, 3); malformed input raises ``ValueError``, and ``image_tiles`` gives it null columns
+with the reason in ``error``.  Rows are taken one by one: equal input gives equal output, repeated rows stay
+repeated, null ids stay null, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import slices, text_or_empty
 SIDE = 24
 UNIT = SIDE * SIDE
 TILE = 64
+BAND = 8192
 
 
 def _header(data: bytes, count: int) -> tuple[list[int], int]:
@@ -90,21 +92,41 @@ def encode_netpbm(image: np.ndarray) -> bytes:
     return b"P%d\n%d %d\n%d\n" % (6 if image.ndim == 3 else 5, image.shape[1], image.shape[0], top) + raw.tobytes()
 
 
+def _masked(pixels: np.ndarray, masks) -> np.ndarray:
+    """Channels of bit-field pixels, spread to 8 bits."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        low = (mask & -mask).bit_length() - 1
+        top = mask >> low if mask else 0
+        if top & (top + 1):
+            raise ValueError("BMP masks")
+        if top:
+            out[..., k] = (((pixels & np.uint32(mask)) >> np.uint32(low)).astype(np.uint64) * 255 + top // 2) // top
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, either row order; always RGB."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, with bit fields for 16 and 32, either row order; always RGB."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("no BMP magic")
     start, head, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or packing and bits not in (16, 32) or width <= 0 or height == 0 or head < 40:
         raise ValueError("BMP kind")
     rows, row = abs(height), (width * bits + 31) // 32 * 4
     if len(data) < start + rows * row:
         raise ValueError("BMP raster is short")
     raw = np.frombuffer(data, np.uint8, rows * row, start).reshape(rows, row)
-    if bits >= 24:
+    if packing or bits == 16:
+        if packing and len(data) < 66:
+            raise ValueError("BMP masks")
+        masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x3E0, 0x1F)
+        image = _masked(raw[:, : width * bits // 8].copy().view(f"<u{bits // 8}").astype(np.uint32), masks)
+    elif bits >= 24:
         image = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     else:
         used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+        if used > 256 or len(data) < 14 + head + used * 4:
+            raise ValueError("BMP palette")
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + head).reshape(used, 4)[:, 2::-1]
         if bits == 8:
             index = raw[:, :width]
@@ -138,21 +160,32 @@ def _edges(n: int, parts: int):
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the exact source area under each target pixel, from one integral image."""
-    plane = image.astype(np.float64)
-    table = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1, *plane.shape[2:]))
-    np.cumsum(plane, axis=0, out=table[1:, 1:])
-    np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
-
-    def at(axis, size, parts, values):
-        whole, part = _edges(size, parts)
-        low = np.take(values, whole, axis)
-        high = np.take(values, np.minimum(whole + 1, size), axis)
-        part = part.reshape([-1 if a == axis else 1 for a in range(values.ndim)])
+    """Mean of the exact source area under each target pixel, from integral images of ``BAND`` rows at a time.
+
+    Of the integral image only the rows around the target's edges are kept, so memory does not grow with the source.
+    """
+    rows, columns = image.shape[:2]
+    whole, part = _edges(rows, height)
+    need = np.unique(np.concatenate([whole, np.minimum(whole + 1, rows)]))
+    kept = np.zeros((len(need), columns + 1, *image.shape[2:]))
+    carry = np.zeros(kept.shape[1:])
+    for y in range(0, rows, BAND):
+        table = np.zeros((min(BAND, rows - y), *kept.shape[1:]))
+        np.cumsum(image[y : y + BAND].astype(np.float64), axis=0, out=table[:, 1:])
+        np.cumsum(table[:, 1:], axis=1, out=table[:, 1:])
+        table += carry
+        here = (need > y) & (need <= y + len(table))
+        kept[here] = table[need[here] - y - 1]
+        carry = table[-1]
+
+    def at(axis, low, high, part):
+        part = part.reshape([-1 if a == axis else 1 for a in range(low.ndim)])
         return np.diff(low + (high - low) * part, axis=axis)
 
-    sums = at(1, plane.shape[1], width, at(0, plane.shape[0], height, table))
-    return sums * (height * width / (plane.shape[0] * plane.shape[1]))
+    down = at(0, kept[np.searchsorted(need, whole)], kept[np.searchsorted(need, np.minimum(whole + 1, rows))], part)
+    whole, part = _edges(columns, width)
+    sums = at(1, down[:, whole], down[:, np.minimum(whole + 1, columns)], part)
+    return sums * (height * width / (rows * columns))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -161,7 +194,7 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: is each cell of an 8 x 9 area reduction brighter than its right neighbour?"""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(grey(area_resize(image, 8, 9)), 6)
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
@@ -208,14 +241,20 @@ def to_media(payload: bytes) -> bytes:
     return encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE))
 
 
-_TEXT_MEDIA = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def to_bitmap(payload: bytes) -> bytes:
+    """Store bytes as the samples of a BMP whose rows are as long."""
+    return encode_bmp(np.frombuffer(payload, np.uint8).reshape(-1, SIDE // 3, 3))
+
+
+_TEXT_MEDIA = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bmp_sha256 string, bmp_payload_crc32 long"
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text as a Netpbm image and back: sizes, hashes of what was read back, and its feature.
 
     The feature is the difference hash, a colon, the number of NPY tiles, a colon, and the CRC-32 of all of them
-    in order.  Null text is empty.
+    in order.  The payload also goes through a BMP: bmp_sha256 is of the file, bmp_payload_crc32 of what was read back.
+    Null text is empty.
     """
 
     def one(text: bytes):
@@ -226,12 +265,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         count, digest = 0, 0
         for _, _, tile in tiles(image):
             count, digest = count + 1, zlib.crc32(tile, digest)
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{count}:{digest:08x}"
+        bitmap = to_bitmap(back)
+        read = zlib.crc32(decode(bitmap).tobytes())
+        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{count}:{digest:08x}", hashlib.sha256(bitmap).hexdigest(), read
 
     def run(batches):
         for piece in slices(batches):
             columns = list(zip(*(one(piece.bytes(i)) for i in range(piece.n))))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bmp_sha256", "bmp_payload_crc32"]
             yield pa.RecordBatch.from_arrays(
                 [piece.batch.column("id"), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in columns)], names=["id", *names]
             )
