@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_or_empty
+from .common import free_name, materialize, slices, text_or_empty
 
 DISCLOSURE = 0.8
 BITS = 3.0
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match that fails from the start of a run of digits fails from its other digits too, so only starts are tried
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -111,7 +112,7 @@ def document_terms(text: str, spans):
     return out
 
 
-_FOUND = "row long, id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,start:long,end:long>>"
+_FOUND = "row long, id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,start:long,end:long>>"
 _TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -130,19 +131,19 @@ def _find(wanted, batches):
     for piece in slices(batches):
         texts = piece.batch.column("text").to_pylist()
         rows = []
-        for i, text in zip(piece.batch.column("id").to_pylist(), texts):
+        for i, key, text in zip(piece.batch.column("id").to_pylist(), piece.batch.column("key").to_pylist(), texts):
             spans = base_spans(text)
             counts = [sum(s[0] == k for s in spans) for k in KINDS] if spans else (0, 0, 0, 0)
             held = sorted({e for e in (_hash(kind, text[a:b]) for kind, a, b in spans) if wanted is None or e in wanted})
-            rows.append((row, i, *counts, spans_text(spans), held, document_terms(text, spans) if held else []))
+            rows.append((row, i, key, *counts, spans_text(spans), held, document_terms(text, spans) if held else []))
             row += 1
         # terms are known by the same hash as in _count: that of their bytes
-        words = [c[0].encode() for r in rows for c in r[8]]
+        words = [c[0].encode() for r in rows for c in r[-1]]
         joined = pa.RecordBatch.from_pydict({"text": pa.array([b" ".join(words).decode()], pa.string())})
         hashes = iter(_word_ids(next(slices([joined]))).tolist() if words else [])
-        terms = [[{"term": next(hashes), "start": a, "end": b} for _, a, b in r[8]] for r in rows]
-        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(terms, _TERMS)], names=["row", "id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
+        terms = [[{"term": next(hashes), "start": a, "end": b} for _, a, b in r[-1]] for r in rows]
+        kinds = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(terms, _TERMS)], names=["row", "id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
 
 
 def _word_ids(piece) -> np.ndarray:
@@ -218,9 +219,10 @@ def disclosing(found: DataFrame, entities: DataFrame, texts: DataFrame, total: i
     )
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+    """``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row; with ``key`` the hash of id and text too."""
+    text = text_or_empty(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     entities = texts.select("text").mapInArrow(_entities, "entity long").groupBy("entity").agg(F.count("*").alias("holders"))
     entities = materialize(entities.filter(F.col("holders") >= F.lit(least_together() - 1e-9)), "entities")
     few = [r.entity for r in entities.limit(BROADCAST_TERMS + 1).collect()] if BROADCAST_TERMS >= 0 else []
@@ -234,7 +236,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     added = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
     whole = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(added, ","))
     return found.drop("terms").join(reveal, "row", "left").select(
-        F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), F.when(F.col("terms").isNull(), F.col("base")).otherwise(whole).alias("spans"),
+        F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), F.when(F.col("terms").isNull(), F.col("base")).otherwise(whole).alias("spans"), *(["key"] if key else []),
     )
 
 
@@ -259,12 +261,14 @@ def sanitise(text: str, spans: str) -> str:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with sanitised text; ids must be unique."""
-    spans = find_pii(docs, id_col, text_col).filter("spans != ''").select(F.col(id_col).alias("__id"), "spans")
+    """``docs`` with sanitised text.  Rows are known by id and text; null text stays null."""
+    key, marks = (free_name(docs, n) for n in ("__key", "__marks"))
+    name = lambda i, t: F.xxhash64(i, F.coalesce(t, F.lit("")))
+    found = find_pii(docs, id_col, text_col, key=True).filter("spans != ''").select(F.col("key").alias(key), F.col("spans").alias(marks)).dropDuplicates([key])
 
     @F.pandas_udf("string")
-    def clean(text, marks):
-        return text.combine(marks, lambda t, m: t if t is None or not m else sanitise(t, m))
+    def clean(text, spans):
+        return text.combine(spans, lambda t, m: t if t is None or not m else sanitise(t, m))
 
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    return joined.select(*[clean(F.col(text_col), F.col("spans")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    joined = docs.withColumn(key, name(F.col(id_col), F.col(text_col))).join(found, key, "left")
+    return joined.select(*[clean(F.col(text_col), F.col(marks)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
