@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +53,51 @@ def _undo(code: str, before: str) -> str:
     return "".join(before[i] if c == "0" else letters.get(c, c) for i, c in enumerate(code))
 
 
-def undo_previous_read_delta(deltas: DataFrame, order: str = "read_idx") -> DataFrame:
-    """(read_idx, sequence); each chunk is decoded in order by one task, which its size bounds."""
+def _in_order(rows: DataFrame, order: str, decode, schema: str) -> DataFrame:
+    """``decode`` each chunk's rows in order as a stream: what it keeps from batch to batch is the last read only."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], ""
-        pdf = pdf.sort_values(order)
-        for code in pdf["delta"]:
-            before = _undo(code, before)
+    def run(batches):
+        at, before = None, None
+        for batch in batches:
+            chunk = batch.column("chunk_id").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk)) if len(chunk) else np.zeros(1, np.int64)
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if chunk[low] != at:
+                    at, before = chunk[low], None
+                texts, before = decode(batch.column("data").slice(low, high - low), before)
+                yield pa.RecordBatch.from_arrays([batch.column("read_idx").slice(low, high - low), pa.array(texts, pa.string())], names=[f.split()[0] for f in schema.split(", ")])
+
+    return rows.repartition("chunk_id").sortWithinPartitions("chunk_id", order).select("chunk_id", "read_idx", "data").mapInArrow(run, schema)
+
+
+_LETTER = np.arange(256, dtype=np.uint8)
+for _base, _code in DELTA_CODES.items():
+    _LETTER[ord(str(_code))] = ord(_base)
+
+
+def _undo_codes(codes, before):
+    """Texts of a run of codes, and the last one.  Runs of one length are filled downwards as a matrix."""
+    values = codes.to_pylist()
+    size = len(values[0])
+    if any(len(v) != size for v in values) or size == 0 or not all(v.isascii() for v in values) or before is not None and len(before) < size:
+        out = []
+        for code in values:
+            before = _undo(code, before or "")
             out.append(before)
-        return pd.DataFrame({"read_idx": pdf["read_idx"].to_numpy(), "sequence": out})
+        return out, before
+    grid = np.frombuffer("".join(values).encode(), np.uint8).reshape(-1, size)
+    above = np.frombuffer((before or "").ljust(size, "0")[:size].encode("latin-1"), np.uint8)
+    grid = np.concatenate([above[None], np.where(grid == 48, 48, _LETTER[grid])])
+    known = np.where(grid != 48, np.arange(len(grid))[:, None], 0)
+    known[0] = 0
+    filled = np.take_along_axis(grid, np.maximum.accumulate(known, axis=0), 0)[1:]
+    out = [r.tobytes().decode() for r in filled]
+    return out, out[-1]
 
-    return deltas.groupBy("chunk_id").applyInPandas(run, "read_idx long, sequence string")
+
+def undo_previous_read_delta(deltas: DataFrame, order: str = "read_idx") -> DataFrame:
+    """(read_idx, sequence); a chunk is decoded in order as a stream."""
+    return _in_order(deltas.withColumnRenamed("delta", "data"), order, _undo_codes, "read_idx long, sequence string")
 
 
 def undo_inline_delta(deltas: DataFrame, chunk: int = 2_500_000) -> DataFrame:
@@ -87,19 +122,30 @@ def quality_delta(reads: DataFrame, chunk: int = 2_500_000) -> DataFrame:
     return rows.select("chunk_id", "read_idx", F.when(F.col("before").isNull(), F.col("q")).otherwise(diff).alias("deltas"))
 
 
-def undo_quality_delta(deltas: DataFrame) -> DataFrame:
-    """(read_idx, quality)."""
+def _undo_scores(deltas, before):
+    """Texts of a run of score differences, and the last scores.  Runs of one length are summed as a matrix."""
+    offsets = deltas.offsets.to_numpy()
+    values = deltas.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+    sizes = np.diff(offsets)
+    text = lambda q: (q + 33).astype(np.uint8).tobytes().decode()
+    if len(set(sizes.tolist())) == 1 and sizes[0] and (before is None or len(before) >= sizes[0]):
+        grid = np.cumsum(values.reshape(len(sizes), -1), axis=0) + (0 if before is None else before[: sizes[0]])
+        if grid.min() >= 0 and grid.max() <= 93:
+            return [text(q) for q in grid], grid[-1]
+    out = []
+    for d in np.split(values, np.cumsum(sizes)[:-1]):
+        base = np.zeros(len(d), np.int64)
+        if before is not None:
+            base += NO_PREVIOUS
+            base[: len(before)] = before[: len(d)]
+        before = np.clip(d + base, 0, 93)
+        out.append(text(before))
+    return out, before
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], None
-        pdf = pdf.sort_values("read_idx")
-        for d in pdf["deltas"]:
-            now = [min(93, max(0, int(v) + (0 if before is None else before[i] if i < len(before) else NO_PREVIOUS))) for i, v in enumerate(d)]
-            out.append("".join(chr(33 + v) for v in now))
-            before = now
-        return pd.DataFrame({"read_idx": pdf["read_idx"].to_numpy(), "quality": out})
 
-    return deltas.groupBy("chunk_id").applyInPandas(run, "read_idx long, quality string")
+def undo_quality_delta(deltas: DataFrame) -> DataFrame:
+    """(read_idx, quality); a chunk is decoded in order as a stream."""
+    return _in_order(deltas.withColumnRenamed("deltas", "data"), "read_idx", _undo_scores, "read_idx long, quality string")
 
 
 def quality_delta_stats(reads: DataFrame, chunk: int = 2_500_000) -> DataFrame:

@@ -52,21 +52,26 @@ def window_dictionaries(reads: DataFrame, width: int = 32) -> DataFrame:
     return reads.filter(F.length("sequence") >= 2 * width).select("read_idx", sides).groupBy("x.side", "x.window").agg(F.count("*").alias("reads"), F.min("read_idx").alias("first"))
 
 
-def _middle(s):
-    return F.floor(F.length(s) / 2).cast("int")
-
-
 def match_candidates(reads: DataFrame, width: int = 20, most: int = 4, cap: int = 1000) -> DataFrame:
-    """(a, b, is_rc, distance): reads that share a centre window, on either strand, and differ at ``most`` places.
-
-    A window's reads meet the first ``cap`` of them, latest first, as the operator defines."""
-    s = F.upper("sequence")
-    mid = F.floor(F.length(s) / 2).cast("int")
-    rows = reads.select("read_idx", s.alias("s"), F.substring(s, mid - width + 1, F.lit(width)).alias("window"))
-    flipped = reads.select("read_idx", S.reverse_complement("sequence").alias("s")).withColumn("window", F.substring("s", _middle(F.col("s")) - width + 1, F.lit(width)))
-    listed = rows.withColumn("n", F.row_number().over(Window.partitionBy("window").orderBy(F.col("read_idx").desc()))).filter(F.col("n") <= cap).select(F.col("read_idx").alias("b"), F.col("s").alias("sb"), "window")
-    probe = rows.withColumn("is_rc", F.lit(False)).unionByName(flipped.withColumn("is_rc", F.lit(True))).select(F.col("read_idx").alias("a"), F.col("s").alias("sa"), "window", "is_rc")
-    return probe.join(listed, "window").filter("a < b").withColumn("distance", S.hamming_within("sa", "sb", most)).filter("distance is not null").select("a", "b", "is_rc", "distance")
+    """(a, b, is_rc, shift, distance): b's centre window stands in a, or in a's reverse complement where ``is_rc``,
+    ``shift`` bases right of a's own centre, for shifts below half of a; where they overlap they differ at ``most`` places.
+
+    A window's reads meet the first ``cap`` of them, latest first, as the operator defines.  Unshifted pairs stand once.
+    """
+    middle = lambda c: F.floor(F.length(c) / 2).cast("int")
+    rows = reads.select("read_idx", F.upper("sequence").alias("s")).filter(F.length("s") >= 2 * width)
+    windowed = rows.withColumn("window", F.substring("s", middle("s") - width + 1, F.lit(width)))
+    listed = windowed.withColumn("n", F.row_number().over(Window.partitionBy("window").orderBy(F.col("read_idx").desc()))).filter(F.col("n") <= cap).select(F.col("read_idx").alias("b"), F.col("s").alias("sb"), "window")
+    both = rows.withColumn("is_rc", F.lit(False)).unionByName(rows.select("read_idx", S.reverse_complement("s").alias("s"), F.lit(True).alias("is_rc")))
+    shifts = both.withColumn("shift", F.explode(F.sequence(F.lit(0), middle("s") - 1)))
+    probe = shifts.select(F.col("read_idx").alias("a"), F.col("s").alias("sa"), "is_rc", "shift", F.substring("s", middle("s") - width + 1 + F.col("shift"), F.lit(width)).alias("window"))
+    met = probe.join(listed, "window").filter((F.col("a") != F.col("b")) & ((F.col("shift") > 0) | (F.col("a") < F.col("b"))))
+    # a and b are laid with their centres ``shift`` apart
+    start = middle("sa") - middle("sb") + F.col("shift")
+    low_a, low_b = F.greatest(start, F.lit(0)), F.greatest(-start, F.lit(0))
+    n = F.least(F.length("sa") - low_a, F.length("sb") - low_b)
+    far = S.hamming_within(F.substring("sa", low_a + 1, n), F.substring("sb", low_b + 1, n), most)
+    return met.withColumn("distance", far).filter("distance is not null").select("a", "b", "is_rc", "shift", "distance")
 
 
 def rolling_consensus(reads: DataFrame, chains: DataFrame) -> DataFrame:

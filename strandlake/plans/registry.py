@@ -585,7 +585,11 @@ _add("mx01_transpose", "SELECT pos, read_idx // 65536 AS block, string_agg(base,
 _add("mx02_consensus_last", "SELECT pos, base, n FROM cons", lambda r: consensus.column_consensus(R.bases(r, False)), extra=_TOP)
 _add("mx02_consensus_first", "SELECT pos, base, n FROM (SELECT pos, base, count(*) AS n, row_number() OVER (PARTITION BY pos ORDER BY count(*) DESC, base) AS k FROM bases WHERE base <> 'N' GROUP BY pos, base) WHERE k = 1", lambda r: consensus.column_consensus(R.bases(r, False), ties="first"), extra=_BASES)
 _add("mx03_residual", "SELECT b.read_idx, b.pos, CAST((strpos('ACGT', b.base) - strpos('ACGT', c.base) + 4) % 4 AS BIGINT) AS residual FROM bases b JOIN cons c USING (pos) WHERE b.base <> 'N'", lambda r: (lambda b: consensus.residual(b, consensus.column_consensus(b)))(R.bases(r, False)), extra=_TOP)
-_add("mx04_shift_residual", None, lambda r: consensus.shift_residual(R.bases(r, False), consensus.best_shift(r, 0, 5)), mutated=True)
+_SHIFTS = _SQL["sq24_best_shift"][len(_WITH) + len(_kmer_cte(5, "mutated")) + 1 :]
+_add("mx04_shift_residual", "SELECT m.read_idx, m.\"column\", CAST((strpos('ACGT', m.base) - strpos('ACGT', c.base) + 4) % 4 AS BIGINT) AS residual FROM moved m JOIN top c USING (\"column\") WHERE m.base <> 'N'",
+     lambda r: consensus.shift_residual(R.bases(r, False), consensus.best_shift(r, 0, 5)), mutated=True, extra=_kmer_cte(5, "mutated") + f""", shifts AS ({_SHIFTS}),
+  moved AS (SELECT s.read_idx, CAST(i - 1 + s.shift - (SELECT min(shift) FROM shifts) AS BIGINT) AS "column", substr(m.sequence, i, 1) AS base FROM mutated m JOIN shifts s USING (read_idx), unnest(range(1, 65)) t(i)),
+  top AS (SELECT "column", base FROM (SELECT "column", base, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, base DESC) AS k FROM moved WHERE base <> 'N' GROUP BY "column", base) WHERE k = 1)""")
 _add("mx05_mod4_delta", "SELECT read_idx, pos, CAST((c - lag(c, 1, 0) OVER (PARTITION BY pos ORDER BY read_idx) + 4) % 4 AS BIGINT) AS step FROM (SELECT read_idx, pos, strpos('ACGT', base) - 1 AS c FROM bases WHERE base <> 'N')", lambda r: consensus.mod4_delta(R.bases(r, False)), extra=_BASES)
 _add("mx05_mod4_undelta", "SELECT read_idx, pos, base FROM bases WHERE base <> 'N'", lambda r: consensus.mod4_undelta(consensus.mod4_delta(R.bases(r, False))), extra=_BASES)
 _add("mx06_previous_base_delta", "SELECT read_idx, pos, CASE WHEN base = lag(base) OVER (PARTITION BY pos ORDER BY read_idx) THEN '0' ELSE base END AS delta FROM bases", lambda r: consensus.previous_base_delta(R.bases(r, False)), extra=_BASES)
@@ -599,10 +603,14 @@ _add("mx08_rank_mixed_order", _RANKED, lambda r: consensus.rank_mixed_order(R.ba
 
 _add("sp02_preprocess", "SELECT read_idx, read_idx // 256 AS block, sequence, contains(sequence, 'N') AS has_n FROM reads", lambda r: pairs.preprocess(r, 256))
 _add("sp03_window_dictionaries", "SELECT side, \"window\", count(*) AS reads, min(read_idx) AS first FROM (SELECT read_idx, 'left' AS side, substr(sequence, 1, 32) AS \"window\" FROM reads UNION ALL SELECT read_idx, 'right', substr(sequence, 33, 32) FROM reads) GROUP BY 1, 2", pairs.window_dictionaries)
-_add("sp04_match_candidates", f"""SELECT a.read_idx AS a, b.read_idx AS b, a.is_rc, CAST(len([1 for j in range(1, 65) if substr(a.s, j, 1) <> substr(b.sequence, j, 1)]) AS BIGINT) AS distance
-  FROM (SELECT read_idx, sequence AS s, false AS is_rc FROM mutated UNION ALL SELECT read_idx, {_rc('sequence')}, true FROM mutated) a JOIN mutated b ON substr(a.s, 13, 20) = substr(b.sequence, 13, 20) AND a.read_idx < b.read_idx
-  WHERE len([1 for j in range(1, 65) if substr(a.s, j, 1) <> substr(b.sequence, j, 1)]) <= 4""", pairs.match_candidates, mutated=True)
-_add("sp05_rolling_consensus", None, lambda r: pairs.rolling_consensus(r, r.withColumn("__w", F.substring("sequence", 20, 24)).select(F.xxhash64("__w").alias("chain"), F.col("read_idx").alias("rank"), "read_idx")), mutated=True)
+_add("sp04_match_candidates", f"""SELECT a, b, is_rc, shift, distance FROM (SELECT a.read_idx AS a, b.read_idx AS b, a.is_rc, a.shift, {_long("len([1 for j in range(1, 65 - a.shift) if substr(a.s, j + a.shift, 1) <> substr(b.sequence, j, 1)])")} AS distance
+  FROM (SELECT *, substr(s, CAST(13 + shift AS INT), 20) AS w FROM (SELECT read_idx, sequence AS s, false AS is_rc FROM mutated UNION ALL SELECT read_idx, {_rc('sequence')}, true FROM mutated), (SELECT CAST(v AS INT) AS shift FROM range(32) t(v))) a
+  JOIN mutated b ON a.w = substr(b.sequence, 13, 20) AND a.read_idx <> b.read_idx AND (a.shift > 0 OR a.read_idx < b.read_idx)) WHERE distance <= 4""", pairs.match_candidates, mutated=True)
+_add("sp05_rolling_consensus", f"""SELECT read_idx, string_agg(t, '' ORDER BY pos) AS consensus, {_long("sum(CASE WHEN t <> base THEN 1 ELSE 0 END)")} AS distance FROM (
+  SELECT read_idx, pos, base, CASE WHEN ca >= cc AND ca >= ct AND ca >= cg THEN 'A' WHEN cc >= ct AND cc >= cg THEN 'C' WHEN ct >= cg THEN 'T' ELSE 'G' END AS t FROM (
+    SELECT read_idx, pos, base, {", ".join(f"count(*) FILTER (base = '{x.upper()}') OVER w AS c{x}" for x in "acgt")} FROM (SELECT m.read_idx, i AS pos, substr(m.sequence, i, 1) AS base, substr(m.sequence, 20, 24) AS chain FROM mutated m, unnest(range(1, 65)) t(i))
+    WINDOW w AS (PARTITION BY chain, pos ORDER BY read_idx ROWS UNBOUNDED PRECEDING))) GROUP BY read_idx""",
+     lambda r: pairs.rolling_consensus(r, r.withColumn("__w", F.substring("sequence", 20, 24)).select(F.xxhash64("__w").alias("chain"), F.col("read_idx").alias("rank"), "read_idx")), mutated=True)
 _add("sp07_restore_order", "SELECT read_idx, id FROM reads", lambda r: reorder.apply(r, reorder.center(r, 5000)).select("read_idx", "id"))
 _HALF = f", o AS ({_ORDER.replace('5000', '1000000000').format(keys='quality', source='reads')}), h AS (SELECT count(*) // 2 AS n FROM reads), p AS (SELECT read_idx, row_number() OVER (ORDER BY new_pos) - 1 AS place, n FROM o, h WHERE read_idx < n)"
 _add("sp08_pair_order", "SELECT read_idx, place FROM p UNION ALL SELECT read_idx + n, place + n FROM p", lambda r: pairs.pair_order(reorder.by_strategy(r, "lexicographic", "quality", None), r.count() // 2), extra=_HALF)
@@ -640,7 +648,9 @@ _add("ql15_model_read_back", "SELECT pos, median FROM model", lambda r: delta.mo
 _add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", None)
 _QUERIES["ql19_quality_codec"] = lambda spark, sf: spark.createDataFrame([(api.choose_quality_codec(R.derived_reads(spark, sf)),)], "codec string")
 _add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads WHERE read_idx % 10 = 0", delta.dictionary_sample)
-_add("ql25_prediction_residual", None, lambda r: delta.prediction_residual(_contexts(r), ["q1"]))
+_LETTERS = sorted({ord(c) - 33 for c in "#,5:<>?BDFGHI"})
+_add("ql25_prediction_residual", f"""SELECT read_idx, pos, phred - coalesce(list_min([x for x in [{", ".join(f"struct_pack(c := -c{x}, s := {x})" for x in _LETTERS)}] if x.c < 0]).s, 0) + 128 AS residual
+  FROM (SELECT read_idx, pos, phred, {", ".join(f"count(*) FILTER (phred = {x}) OVER w AS c{x}" for x in _LETTERS)} FROM context WINDOW w AS (PARTITION BY q1, read_idx // 500000 ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", lambda r: delta.prediction_residual(_contexts(r), ["q1"]), extra=_CONTEXT)
 _AS10 = ", shifted AS (SELECT read_idx, substr(sequence, CAST(read_idx % 3 * 8 + 1 AS INT), 48) AS sequence FROM reads)" + _kmer_cte(15, "shifted") + _LISTS + f""", picked AS (SELECT k.*, k.raw = k.kmer AS forward, s.sequence FROM (SELECT *, {_hash('kmer', 15)} AS hash FROM km) k SEMI JOIN posts USING (hash, read_idx) JOIN shifted s USING (read_idx)),
   few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY read_idx, pos) AS n FROM picked) WHERE n <= 200),
   met AS (SELECT DISTINCT a.read_idx AS a, b.read_idx AS b, a.forward <> b.forward AS is_rc, a.pos - CASE WHEN a.forward <> b.forward THEN 48 - b.pos - 15 ELSE b.pos END AS shift, a.sequence AS x, CASE WHEN a.forward <> b.forward THEN {_rc('b.sequence')} ELSE b.sequence END AS y FROM few a JOIN few b ON a.hash = b.hash AND a.read_idx <> b.read_idx),
