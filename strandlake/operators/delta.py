@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -213,9 +215,13 @@ def model_table(row: DataFrame) -> DataFrame:
     return row.select(F.posexplode("medians").alias("pos", "median"))
 
 
-def dictionary_sample(reads: DataFrame, every: int = 10) -> DataFrame:
-    """Every tenth read, to train a compression dictionary on: a sample by definition."""
-    return reads.filter(F.col("read_idx") % every == 0).select("read_idx", "quality")
+def dictionary_sample(reads: DataFrame, share: float = 0.1, least: int = 100) -> DataFrame:
+    """Reads at equal steps, ``share`` of them but ``least`` where there are as many, to train a compression dictionary
+    on: a sample by definition."""
+    n = reads.count()
+    most = min(max(math.ceil(n * share), least), n)
+    step = n // max(most, 1) or 1
+    return reads.filter((F.col("read_idx") % step == 0) & (F.col("read_idx") < step * most)).select("read_idx", "quality")
 
 
 def prediction_residual(bases: DataFrame, context: list[str], symbol: str = "phred", block: int = 500_000) -> DataFrame:

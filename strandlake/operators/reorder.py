@@ -94,12 +94,30 @@ STRATEGIES = {
 }
 
 
+def sweep_keys(name: str, column: str) -> list[Column]:
+    """Keys ``kind:k`` of the sweep over k-mer lengths: smallest ``open`` or ``closed`` syncmer, the two smallest closed
+    ones (``top2``), the smallest closed one with its place (``placed``), and ``kmer``, the smallest k-mer."""
+    kind, k = name.split(":")[0], int(name.split(":")[1])
+    if kind == "kmer":
+        return [S.min_kmer(column, k).asc_nulls_last()]
+    found = S.syncmers(column, k, 10, (0,) if kind == "open" else (0, k - 10))
+    hashes = F.transform(found, lambda x: x["hash"])
+    if kind == "top2":
+        two = F.slice(F.array_sort(F.array_distinct(hashes)), 1, 2)
+        return [F.get(two, F.lit(i)).asc_nulls_last() for i in (0, 1)]
+    if kind == "placed":
+        low = F.array_min(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
+        return [low["hash"].asc_nulls_last(), low["pos"].asc_nulls_last()]
+    return [F.array_min(hashes).asc_nulls_last()]
+
+
 def by_strategy(reads: DataFrame, strategy: str, column: str = "quality", chunk: int | None = CHUNK) -> DataFrame:
-    """Order by a named key of one column, or of both with ``column='both'``."""
-    if strategy not in STRATEGIES:
+    """Order by a named key of one column, or of both with ``column='both'``; ``kind:k`` names a key of the sweep."""
+    kind, _, k = strategy.partition(":")
+    if strategy not in STRATEGIES and not (kind in ("open", "closed", "top2", "placed", "kmer") and k.isdigit() and 10 < int(k) < 32):
         raise ValueError(f"sort strategy {strategy!r}")
     columns = ["sequence", "quality"] if column == "both" else [column]
-    keys = [k for c in columns for k in STRATEGIES[strategy](c)]
+    keys = [x for c in columns for x in (sweep_keys(strategy, c) if k else STRATEGIES[strategy](c))]
     return _number(reads, keys, chunk)
 
 

@@ -468,6 +468,12 @@ _add("gr17_most_frequent", "SELECT hash, n FROM hc ORDER BY n DESC, hash LIMIT 2
 _add("gr18_sort_closed_syncmer", None, lambda r: reorder.by_strategy(r, "closed_syncmer", "sequence", 5000))
 _add("gr18_sort_sketch", _ORDER.format(keys="sketch[1] NULLS FIRST, sketch[2] NULLS FIRST, sketch[3] NULLS FIRST, sketch[4] NULLS FIRST", source=f"(SELECT r.read_idx, s.sketch FROM reads r LEFT JOIN (SELECT read_idx, list_sort(list(DISTINCT {_hash('kmer', 21)})) AS sketch FROM km GROUP BY read_idx) s USING (read_idx))"), lambda r: reorder.by_strategy(r, "sketch4", "sequence", 5000), extra=_kmer_cte(21))
 
+for _kind, _k in [("closed", k) for k in (15, 21, 25, 31)] + [("open", k) for k in (15, 31)] + [("top2", 31), ("placed", 31), ("kmer", 15), ("kmer", 25)]:
+    _found = _kmer_cte(_k) + f", sy AS (SELECT read_idx, pos, {_hash('kmer', _k)} AS hash FROM km)" if _kind == "kmer" else _syncmer_cte(_k, offsets=(0,) if _kind == "open" else (0, _k - 10))
+    _keys = {"top2": "hs[1] NULLS LAST, hs[2] NULLS LAST", "placed": "hs[1] NULLS LAST, p NULLS LAST"}.get(_kind, "hs[1] NULLS LAST")
+    _add(f"gr18_{_kind}_{_k}", _ORDER.format(keys=_keys, source="(SELECT r.read_idx, s.hs, s.p FROM reads r LEFT JOIN (SELECT read_idx, list_sort(list(DISTINCT hash)) AS hs, arg_min(pos, struct_pack(h := hash, p := pos)) AS p FROM sy GROUP BY read_idx) s USING (read_idx))"),
+         lambda r, n=f"{_kind}:{_k}": reorder.by_strategy(r, n, "sequence", 5000), extra=_found)
+
 # ---- k-mers, graph, mapping ---------------------------------------------------------------------------
 
 _add("as01_choose_k", f"SELECT {_long('sum(length(sequence))')} AS bases, CAST(CASE WHEN sum(length(sequence)) < 5000000 THEN 15 WHEN sum(length(sequence)) < 50000000 THEN 19 WHEN sum(length(sequence)) < 500000000 THEN 23 WHEN sum(length(sequence)) < 2000000000 THEN 27 ELSE 31 END AS BIGINT) AS k FROM reads", kmers.choose_k)
@@ -647,7 +653,8 @@ _add("ql15_model_row", f"SELECT CAST(count(*) AS BIGINT) AS read_length, string_
 _add("ql15_model_read_back", "SELECT pos, median FROM model", lambda r: delta.model_table(delta.model_row(delta.quality_model(r))), extra=_MODEL)
 _add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", None)
 _QUERIES["ql19_quality_codec"] = lambda spark, sf: spark.createDataFrame([(api.choose_quality_codec(R.derived_reads(spark, sf)),)], "codec string")
-_add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads WHERE read_idx % 10 = 0", delta.dictionary_sample)
+_add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads, (SELECT n // most AS step, most FROM (SELECT count(*) AS n, least(greatest(CAST(ceil(count(*) * 0.1) AS BIGINT), 100), count(*)) AS most FROM reads)) WHERE read_idx % step = 0 AND read_idx < step * most", delta.dictionary_sample)
+_add("ql21_least_sample", "SELECT read_idx, quality FROM reads WHERE read_idx < 150", lambda r: delta.dictionary_sample(r.filter("read_idx < 150")))
 _LETTERS = sorted({ord(c) - 33 for c in "#,5:<>?BDFGHI"})
 _add("ql25_prediction_residual", f"""SELECT read_idx, pos, phred - coalesce(list_min([x for x in [{", ".join(f"struct_pack(c := -c{x}, s := {x})" for x in _LETTERS)}] if x.c < 0]).s, 0) + 128 AS residual
   FROM (SELECT read_idx, pos, phred, {", ".join(f"count(*) FILTER (phred = {x}) OVER w AS c{x}" for x in _LETTERS)} FROM context WINDOW w AS (PARTITION BY q1, read_idx // 500000 ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", lambda r: delta.prediction_residual(_contexts(r), ["q1"]), extra=_CONTEXT)
