@@ -146,6 +146,23 @@ def mapped_mismatches(mappings: DataFrame, reads: DataFrame, contigs: DataFrame)
     return rows.select("read_idx", "contig_id", "position", "is_rc", F.length("sequence").alias("length"), F.when(F.col("contig_id").isNotNull(), S.mismatches("sequence", own)).alias("mismatches"), F.when(F.col("contig_id").isNull(), F.col("sequence")).alias("raw"))
 
 
+def hybrid_streams(encoded: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Encoded reads in long form (stream, read_idx, data): flags, singletons, mapping, distances between mismatches,
+    their bases, and the consensus, whose rows are contigs."""
+    placed, alone = encoded.filter("contig_id is not null"), encoded.filter("contig_id is null")
+    one = lambda rows, name, data: rows.select(F.lit(name).alias("stream"), "read_idx", data.alias("data"))
+    pos = F.transform("mismatches", lambda m: m["pos"])
+    steps = F.transform(pos, lambda p, i: (p - F.when(i > 0, F.get(pos, i - 1)).otherwise(0)).cast("string"))
+    return (
+        one(encoded, "flags", F.when(F.col("contig_id").isNull(), "0").otherwise("1"))
+        .unionByName(one(alone, "singletons", F.col("raw")))
+        .unionByName(one(placed, "mapping", F.concat_ws(":", F.col("contig_id").cast("string"), F.col("position").cast("string"), F.col("is_rc").cast("string"))))
+        .unionByName(one(placed, "positions", F.array_join(steps, ",")))
+        .unionByName(one(placed, "bases", F.array_join(F.transform("mismatches", lambda m: m["base"]), "")))
+        .unionByName(one(contigs.withColumnRenamed("contig_id", "read_idx"), "consensus", F.col("sequence")))
+    )
+
+
 def decode_mapped(encoded: DataFrame, contigs: DataFrame) -> DataFrame:
     """(read_idx, sequence) of encoded reads."""
     rows = encoded.join(contigs.select("contig_id", F.col("sequence").alias("reference")), "contig_id", "left")

@@ -126,26 +126,61 @@ def _quantizer(p: np.ndarray, states: int) -> tuple[np.ndarray, float]:
 
 
 def quality_codebook(transitions: DataFrame, bits: float, top: int = 41) -> pd.DataFrame:
-    """(pos, before, low, high, ratio): for each column and previous output the quantizers with consecutive numbers
-    of states around the entropy target, and how often to take the larger one.  The table of transitions has at
-    most positions x scores x scores rows, so it is handled on the driver."""
+    """(pos, before, low, high, ratio, low_values, high_values): for each column and previous output the quantizers with
+    consecutive numbers of states around the entropy target, how often to take the larger one, and what either makes of
+    each score.  The table of transitions has at most positions x scores x scores rows, so it is handled on the driver."""
     rows = transitions.toPandas()
     out = []
     for (pos, before), g in rows.groupby(["pos", "before"]):
         p = np.bincount(np.minimum(g["phred"], top), g["n"], top + 1) / g["n"].sum()
+        most = max(1, int((p > 0).sum()))
 
-        def entropy(states, p=p):
+        def quantized(states, p=p):
             v, _ = _quantizer(p, states)
             m = np.bincount(v, p)
             m = m[m > 0]
-            return float(-(m * np.log2(m)).sum())
-
-        states = 1
-        while states < (p > 0).sum() and entropy(states + 1) <= bits:
-            states += 1
-        low, high = entropy(states), entropy(min(states + 1, max(1, int((p > 0).sum()))))
-        out.append((pos, before, states, min(states + 1, max(1, int((p > 0).sum()))), 0.0 if high <= low else min(1.0, max(0.0, (bits - low) / (high - low)))))
-    return pd.DataFrame(out, columns=["pos", "before", "low", "high", "ratio"])
+            return float(-(m * np.log2(m)).sum()), v.tolist()
+
+        states, (low, low_values) = 1, quantized(1)
+        while states < most and (found := quantized(states + 1))[0] <= bits:
+            states, (low, low_values) = states + 1, found
+        high, high_values = quantized(min(states + 1, most))
+        ratio = 0.0 if high <= low else min(1.0, max(0.0, (bits - low) / (high - low)))
+        out.append((pos, before, states, min(states + 1, most), ratio, low_values, high_values))
+    return pd.DataFrame(out, columns=["pos", "before", "low", "high", "ratio", "low_values", "high_values"])
+
+
+def quantize_reads(reads: DataFrame, book: pd.DataFrame, seed: int = 1) -> DataFrame:
+    """(read_idx, quality): scores by the codebook, column by column, given the output before.
+
+    Which of the two quantizers a score takes is drawn from the read's index and the position, so reruns agree.  A column
+    or previous output that the book lacks takes the nearest one that it has; without any the score stays.
+    """
+    table = {}
+    for r in book.itertuples():
+        table.setdefault(int(r.pos), []).append((int(r.before), float(r.ratio), np.array(r.low_values), np.array(r.high_values)))
+    sent = reads.sparkSession.sparkContext.broadcast(table)  # positions x scores quantizers
+
+    def run(batches):
+        columns = sent.value
+        last = max(columns, default=0)
+        for pdf in batches:
+            out = []
+            for i, quality in zip(pdf["read_idx"], pdf["quality"]):
+                draw = np.random.default_rng([seed, int(i)]).random(len(quality or ""))
+                before, text = 0, []
+                for pos, c in enumerate(quality or ""):
+                    score = ord(c) - 33
+                    if entries := columns.get(min(pos, last)):
+                        _, ratio, low, high = min(entries, key=lambda e: (abs(e[0] - before), e[0]))
+                        values = high if draw[pos] < ratio else low
+                        score = int(values[min(score, len(values) - 1)])
+                    text.append(chr(33 + score))
+                    before = score
+                out.append("".join(text) if quality is not None else None)
+            yield pd.DataFrame({"read_idx": pdf["read_idx"], "quality": out})
+
+    return reads.select("read_idx", "quality").mapInPandas(run, "read_idx long, quality string")
 
 
 def preprocess(reads: DataFrame, block: int = 256_000, longest: int = 511) -> DataFrame:

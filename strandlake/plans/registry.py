@@ -18,7 +18,7 @@ from ..functions import sequence as S
 from ..operators import assembly, clusters, consensus, delta, entropy, kmers, pairs, reorder
 from ..sources import archive, fastq, reads as R
 from ..session import keep, shared_dir
-from . import api
+from . import api, chain
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -518,6 +518,14 @@ _add("as12_mismatches", f"""SELECT m.read_idx, array_to_string([concat(j - 1, su
 _QUERIES["as12_mismatches"] = lambda spark, sf: _encode(spark, sf)[0].filter("contig_id is not null").select("read_idx", F.array_join(F.transform("mismatches", lambda m: F.concat(m["pos"].cast("string"), m["base"])), ",").alias("mismatches"))
 _add("as13_decode_mapped", "SELECT read_idx, sequence FROM mutated", None)
 _QUERIES["as13_decode_mapped"] = lambda spark, sf: kmers.decode_mapped(*_encode(spark, sf))
+_add("as15_hybrid_streams", f"""SELECT 'flags' AS stream, m.read_idx, CASE WHEN b.read_idx IS NULL THEN '0' ELSE '1' END AS data FROM mutated m LEFT JOIN best b USING (read_idx)
+  UNION ALL SELECT 'singletons', read_idx, sequence FROM mutated WHERE read_idx NOT IN (SELECT read_idx FROM best)
+  UNION ALL SELECT 'mapping', read_idx, concat(contig_id, ':', CAST(position AS BIGINT), ':', is_rc) FROM best
+  UNION ALL SELECT 'positions', read_idx, array_to_string([p[i] - coalesce(p[i - 1], 0) for i in range(1, len(p) + 1)], ',') FROM apart
+  UNION ALL SELECT 'bases', read_idx, array_to_string([substr(x, CAST(i + 1 AS INT), 1) for i in p], '') FROM apart
+  UNION ALL SELECT 'consensus', contig_id, sequence FROM contigs""", None, extra=_MAP + f""", apart AS (SELECT read_idx, x, [j - 1 for j in range(1, 65) if substr(x, j, 1) <> substr(y, j, 1)] AS p FROM (
+    SELECT m.read_idx, m.sequence AS x, CASE WHEN b.is_rc THEN {_rc('c.sequence')} ELSE c.sequence END AS y FROM mutated m JOIN best b USING (read_idx) JOIN contigs c ON c.contig_id = b.contig_id))""")
+_QUERIES["as15_hybrid_streams"] = lambda spark, sf: tidy(kmers.hybrid_streams(*_encode(spark, sf)))
 _add("as14_corrected_kmers", None, lambda r: assembly.correct_kmers(kmers.count_kmers(r, 15)), mutated=True)
 _add("as14_templates", None, lambda r: assembly.templates(keep(kmers.count_kmers(r, 15), "counts"), 15, 64))
 
@@ -607,6 +615,14 @@ _add("mx08_rank_mixed_order", _RANKED, lambda r: consensus.rank_mixed_order(R.ba
 
 # ---- pairs and chains ---------------------------------------------------------------------------------------
 
+def _chain(spark, sf_dir):
+    path = _file(spark)
+    chain.write_chain(R.derived_reads(spark, sf_dir, True), path)
+    return tidy(chain.read_chain(spark, path))
+
+
+_add("sp01_chain_round_trip", "SELECT read_idx, id, sequence, quality FROM mutated", None)
+_QUERIES["sp01_chain_round_trip"] = _chain
 _add("sp02_preprocess", "SELECT read_idx, read_idx // 256 AS block, sequence, contains(sequence, 'N') AS has_n FROM reads", lambda r: pairs.preprocess(r, 256))
 _add("sp03_window_dictionaries", "SELECT side, \"window\", count(*) AS reads, min(read_idx) AS first FROM (SELECT read_idx, 'left' AS side, substr(sequence, 1, 32) AS \"window\" FROM reads UNION ALL SELECT read_idx, 'right', substr(sequence, 33, 32) FROM reads) GROUP BY 1, 2", pairs.window_dictionaries)
 _add("sp04_match_candidates", f"""SELECT a, b, is_rc, shift, distance FROM (SELECT a.read_idx AS a, b.read_idx AS b, a.is_rc, a.shift, {_long("len([1 for j in range(1, 65 - a.shift) if substr(a.s, j + a.shift, 1) <> substr(b.sequence, j, 1)])")} AS distance
@@ -648,13 +664,14 @@ _QUERIES["sp06_singleton_alignment"] = lambda spark, sf: tidy(pairs.singleton_al
 _add("sp12_decode_reads", "SELECT m.read_idx, m.sequence FROM mutated m JOIN best b USING (read_idx)", None, extra=_MAP)
 _QUERIES["sp12_decode_reads"] = _decode_reads
 _add("sp10_quality_transitions", "SELECT pos, q1 AS before, phred, count(*) AS n FROM context GROUP BY 1, 2, 3", lambda r: pairs.quality_transitions(_contexts(r)), extra=_CONTEXT)
+_add("sp10_quantized", None, lambda r: pairs.quantize_reads(r, pairs.quality_codebook(pairs.quality_transitions(_contexts(r)), 1.5)))
 _add("sp11_threshold", f"SELECT read_idx, array_to_string([chr(CAST(33 + CASE WHEN x - 33 >= 30 THEN 35 ELSE 10 END AS INT)) for x in {_codes('quality')}], '') AS quality FROM reads", lambda r: r.select("read_idx", Q.threshold("quality", 30, 35, 10).alias("quality")))
 _add("ql15_model_row", f"SELECT CAST(count(*) AS BIGINT) AS read_length, string_agg(CAST(median AS VARCHAR), ',' ORDER BY pos) AS medians FROM model", lambda r: delta.model_row(delta.quality_model(r)).select("read_length", F.array_join(F.transform("medians", lambda x: x.cast("string")), ",").alias("medians")), extra=_MODEL)
 _add("ql15_model_read_back", "SELECT pos, median FROM model", lambda r: delta.model_table(delta.model_row(delta.quality_model(r))), extra=_MODEL)
 _add("ql19_quality_codec", "SELECT CASE WHEN count(*) >= 100000 THEN 'context' ELSE 'plain' END AS codec FROM reads", None)
 _QUERIES["ql19_quality_codec"] = lambda spark, sf: spark.createDataFrame([(api.choose_quality_codec(R.derived_reads(spark, sf)),)], "codec string")
 _add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads, (SELECT n // most AS step, most FROM (SELECT count(*) AS n, least(greatest(CAST(ceil(count(*) * 0.1) AS BIGINT), 100), count(*)) AS most FROM reads)) WHERE read_idx % step = 0 AND read_idx < step * most", delta.dictionary_sample)
-_add("ql21_least_sample", "SELECT read_idx, quality FROM reads WHERE read_idx < 150", lambda r: delta.dictionary_sample(r.filter("read_idx < 150")))
+_add("ql21_least_sample", "SELECT read_idx, quality FROM reads WHERE read_idx < 100", lambda r: delta.dictionary_sample(r.filter("read_idx < 150")))
 _LETTERS = sorted({ord(c) - 33 for c in "#,5:<>?BDFGHI"})
 _add("ql25_prediction_residual", f"""SELECT read_idx, pos, phred - coalesce(list_min([x for x in [{", ".join(f"struct_pack(c := -c{x}, s := {x})" for x in _LETTERS)}] if x.c < 0]).s, 0) + 128 AS residual
   FROM (SELECT read_idx, pos, phred, {", ".join(f"count(*) FILTER (phred = {x}) OVER w AS c{x}" for x in _LETTERS)} FROM context WINDOW w AS (PARTITION BY q1, read_idx // 500000 ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", lambda r: delta.prediction_residual(_contexts(r), ["q1"]), extra=_CONTEXT)

@@ -75,6 +75,20 @@ def test_codebook(spark, reads):
     assert values[0] == values[1] and values[4] == values[5] and loss < 0.6
 
 
+def test_quantized_reads(spark, reads):
+    """Outputs are values of the book, reruns agree, and one state a column leaves one score."""
+    transitions = pairs.quality_transitions(R.bases(reads, context=True))
+    book = pairs.quality_codebook(transitions, 1.0)
+    got = {x.read_idx: x.quality for x in pairs.quantize_reads(reads, book).collect()}
+    assert got == {x.read_idx: x.quality for x in pairs.quantize_reads(reads.repartition(3), book).collect()}
+    plain = {x.read_idx: x.quality for x in reads.collect()}
+    assert all(len(got[i]) == len(plain[i]) for i in plain)
+    first = book[(book["pos"] == 0) & (book["before"] == 0)].iloc[0]
+    assert {ord(q[0]) - 33 for q in got.values()} <= set(first["low_values"]) | set(first["high_values"])
+    flat = pairs.quantize_reads(reads, pairs.quality_codebook(transitions, 0.0)).collect()
+    assert len({x.quality for x in flat}) == 1
+
+
 def test_tensors(reads):
     energy = tensors.svd_ranks(reads, 64)
     assert energy[0.9] <= energy[0.95] <= energy[0.99]
