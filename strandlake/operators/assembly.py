@@ -65,42 +65,75 @@ def unitigs(counts: DataFrame, k: int) -> DataFrame:
     return number(texts, [F.length("sequence").desc(), F.col("sequence")], "contig_id", ["sequence"]).select("contig_id", "sequence")
 
 
-def greedy_contigs(reads: DataFrame, components: DataFrame, least: int = 31, most: int = 4, steps: int = 10_000) -> DataFrame:
-    """(contig_id, sequence, reads): seeds in read order, extended right and then left by the unused read with
-    the fewest mismatches over an overlap of ``least`` bases or more.  A component is one task."""
-
-    def overlap(a: str, b: str):
-        """Smallest distance (distance, -overlap) of a's end on b's start."""
-        best = None
-        for n in range(min(len(a), len(b) - 1), least - 1, -1):
-            d = sum(x != y for x, y in zip(a[-n:], b[:n]))
-            if d <= most and (best is None or d < best[0]):
-                best = (d, n)
-                if d == 0:
-                    break
-        return best
+def _minimizers(s: str, k: int, w: int) -> list[tuple[str, int, bool]]:
+    """(canonical k-mer, place, is it the forward text) of the smallest in every ``w`` neighbouring clean k-mers."""
+    n, back = len(s), _rc(s)
+    clean = [(min(f, r), i, f <= r) for i in range(n - k + 1) for f, r in ((s[i : i + k], back[n - k - i : n - i]),) if not set(f) - set("ACGT")]
+    return list(dict.fromkeys(min(clean[i : i + w]) for i in range(len(clean) - w + 1)))
+
+
+def _apart(a: str, b: str, most: int) -> int | None:
+    """Hamming distance if it is at most ``most``."""
+    d = 0
+    for x, y in zip(a, b):
+        d += x != y
+        if d > most:
+            return None
+    return d
+
+
+def greedy_contigs(reads: DataFrame, components: DataFrame, least: int = 31, most: int = 4, steps: int = 10_000, k: int = 15, w: int = 11, probes: int = 200) -> DataFrame:
+    """(contig_id, sequence, reads): seeds in read order, extended right and then left by the unused read with the fewest
+    mismatches over an overlap of ``least`` bases or more; the first found wins ties.
+
+    Reads are found by the minimisers of the contig's end, as long as the first read: the ``probes`` latest of a
+    minimiser, either strand.  A component is one task, whose time is linear in its reads.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("read_idx")
         seqs = dict(zip(pdf["read_idx"], pdf["sequence"].str.upper()))
+        end = len(next(iter(seqs.values())))
+        lists: dict[str, list] = {}
+        for i, s in seqs.items():
+            for kmer, pos, forward in _minimizers(s, k, w):
+                lists.setdefault(kmer, []).append((i, pos, forward))
         unused, out = dict.fromkeys(seqs), []
+
+        def best(contig, right):
+            """(distance, read, oriented text, bases added)."""
+            found, region = None, contig[-end:] if right else contig[:end]
+            shift = len(contig) - len(region) if right else 0
+            for kmer, pos, forward in _minimizers(region, k, w):
+                for i, at, same in reversed(lists.get(kmer, [])[-probes:]):
+                    if i not in unused:
+                        continue
+                    read = seqs[i] if same == forward else _rc(seqs[i])
+                    start = shift + pos - (at if same == forward else len(read) - at - k)  # of the read, on the contig
+                    if right:
+                        overlap, ours, theirs = len(contig) - start, contig[max(start, 0) :], read
+                        fits = start >= 0 and overlap < len(read)
+                    else:
+                        overlap, ours, theirs = len(read) + start, contig, read[max(-start, 0) :]
+                        fits = start < 0 and overlap <= len(contig)
+                    d = _apart(ours[:overlap], theirs[:overlap], most) if fits and overlap >= least else None
+                    if d is not None and (found is None or d < found[0]):
+                        found = (d, i, read, len(read) - overlap)
+                        if d == 0:
+                            return found
+            return found
+
         for seed in seqs:
             if seed not in unused:
                 continue
             del unused[seed]
             contig, members = seqs[seed], [seed]
-            for side in ("right", "left"):
+            for right in (True, False):
                 for _ in range(steps):
-                    found = []
-                    for i in unused:
-                        for s in (seqs[i], _rc(seqs[i])):
-                            o = overlap(contig, s) if side == "right" else overlap(s, contig)
-                            if o:
-                                found.append((o[0], -o[1], i, s))
-                    if not found:
+                    if not (found := best(contig, right)):
                         break
-                    _, n, i, s = min(found)
-                    contig = contig + s[-n:] if side == "right" else s[: len(s) + n] + contig
+                    _, i, read, added = found
+                    contig = contig + read[-added:] if right else read[:added] + contig
                     members.append(i)
                     del unused[i]
             out.append((seed, contig, sorted(members)))
