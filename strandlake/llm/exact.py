@@ -3,8 +3,10 @@
 1. Page writers (one per input partition) fold equal texts of their own partition into one entry
    with its row count and its winning row.  A text that fills a third of the table so gives one
    entry per partition.  Entries and the rows that point to them go to shared page files.
-2. The directory starts with one bucket and doubles while a bucket is overfull.  It is computed from
-   ``2**MAX_DEPTH`` prefix counts, so the driver's share is bounded whatever the input.
+2. The directory starts with one bucket and doubles while a bucket is overfull.  It is computed from ``2**FIRST_DEPTH``
+   prefix counts; prefixes that are still overfull are counted anew by longer ones, and the directory doubles
+   further, to ``2**DEEPEST`` slots at most, 16 MB in the driver.  Beyond 32 TB of distinct text buckets grow with the
+   input instead; owners read their buckets as a stream, so no size of a bucket is held in memory.
 3. Owner tasks each take a contiguous range of keys, walk the entries in key order, chain the entries
    that share a 64-bit key, compare their bytes, and total each class.
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialize, slices, text_or_empty
 
-MAX_DEPTH = 14
+FIRST_DEPTH, DEEPEST = 14, 20
 BUCKET_BYTES = 32 << 20
 PAGE_BYTES = 48 << 20
 _PAGES = "row long, id long, entry long, sha string, key long, bytes binary, n long, best_id long, best_row long"
@@ -105,6 +107,29 @@ def build_directory(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
     return np.array([d[0] for d in done]), np.array([d[1] for d in done]), depth
 
 
+def prefix_sizes(entries: DataFrame, first: int, deepest: int, capacity: int) -> np.ndarray:
+    """Bytes of entries by key prefix; prefixes of ``first`` bits, lengthened while one holds more than ``capacity``."""
+
+    def counted(rows, depth):
+        cell = F.shiftrightunsigned("key", 64 - depth)
+        return rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("bytes") + 64).alias("size")).toPandas()
+
+    depth, sizes = first, np.zeros(1 << first, np.int64)
+    found = counted(entries, depth)
+    sizes[found["cell"].to_numpy(np.int64)] = found["size"].to_numpy(np.int64)
+    while depth < deepest and len(full := np.flatnonzero(sizes > capacity)):
+        names = F.broadcast(entries.sparkSession.createDataFrame(pa.table({"head": full})))  # total / capacity rows at most
+        rows = entries.join(names, F.shiftrightunsigned("key", 64 - depth) == F.col("head"), "left_semi")
+        sizes[full] = 0
+        depth += 2
+        wide = np.zeros(1 << depth, np.int64)
+        wide[::4] = sizes  # what is not overfull stays together, at its first longer prefix
+        found = counted(rows, depth)
+        wide[found["cell"].to_numpy(np.int64)] += found["size"].to_numpy(np.int64)
+        sizes = wide
+    return sizes
+
+
 def assign_owners(sizes: np.ndarray, firsts: np.ndarray, owners: int) -> np.ndarray:
     """Owner of each bucket: contiguous key ranges of about equal bytes."""
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -156,19 +181,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pages = materialize(rows.mapInArrow(_write_pages, _PAGES), "pages")
     entries = pages.filter("row is null").select("key", "entry", "bytes", "n", "best_id", "best_row")
 
-    cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    counted = entries.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("bytes") + 64).alias("size")).collect()
-    sizes = np.zeros(1 << MAX_DEPTH, np.int64)
-    for r in counted:
-        sizes[r.cell] = r["size"]
+    sizes = prefix_sizes(entries, FIRST_DEPTH, DEEPEST, BUCKET_BYTES)
+    depth = len(sizes).bit_length() - 1
+    cell = F.shiftrightunsigned("key", 64 - depth)
     firsts, _, _ = build_directory(sizes, BUCKET_BYTES)
     owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(firsts))
     # a bucket is a range of prefixes; small inputs still use all owners
     if len(firsts) < owners:
         firsts, _, _ = build_directory(sizes, max(1, int(sizes.sum()) // (4 * owners)))
     table = np.repeat(assign_owners(sizes, firsts, owners), np.diff(np.append(firsts, len(sizes))))
-    # the directory: 2**MAX_DEPTH slots at most
-    slots = F.broadcast(spark.createDataFrame([(i, int(o)) for i, o in enumerate(table)], "cell long, owner int"))
+    # the directory: 2**DEEPEST slots of 12 bytes at most
+    slots = F.broadcast(spark.createDataFrame(pa.table({"cell": np.arange(len(table)), "owner": table.astype(np.int32)})))
     keyed = entries.withColumn("cell", cell).join(slots, "cell").repartitionById(owners, "owner").drop("cell", "owner")
     classes = keyed.sortWithinPartitions("key", "entry").mapInArrow(_own, "entry long, keep long, keep_row long, size long")
     keep = F.when(F.col("keep") != _NO_ID, F.col("keep"))
