@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..session import keep
+from ..session import discard, keep
 from .reorder import number
 
 _RC = str.maketrans("ACGT", "TGCA")
@@ -178,7 +178,9 @@ def paths(counts: DataFrame, k: int, doublings: int = STRIDE_DOUBLINGS) -> DataF
     for n in range(doublings):
         more = found.select(F.col("node").alias("end"), F.col("path").alias("more"))
         whole = F.when(F.size("path") == 1 << n, F.element_at("path", -1))
+        before = found
         found = keep(found.withColumn("end", whole).join(more, "end", "left").select("node", F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")), "steps")
+        discard(before)
     return found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import discard, keep
 from .kmers import minimizer_postings
 
 
@@ -37,9 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(low, "node").select("node", F.least("label", "near").alias("to"), "label")
         ends = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
         labels_new = keep(step.join(ends, "to").select("node", F.least("to", "next").alias("new"), "label"), "labels")
+        discard(labels)
         if labels_new.filter("new <> label").isEmpty():
             return labels_new.select(F.col("node").alias("read_idx"), F.col("new").alias("label"))
         labels = labels_new.select("node", F.col("new").alias("label"))
+        labels._kept_path = labels_new._kept_path
 
 
 def clusters(reads: DataFrame, strategy: str = "selective", k: int = 21, w: int = 11, most: int = 50) -> DataFrame:

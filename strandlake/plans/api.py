@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..sources import archive, fastq
 
 #: fixed values: reads per chunk by level
@@ -75,7 +76,8 @@ def compress(spark: SparkSession, source: str | list[str], target: str, options:
         encoding = "hints"
     elif options.canonical:
         encoding = "canonical"
-    archive.write_archive(reads, target, encoding, quality, options.quality_codec, order, chunk, options.fasta, options.level)
+    with scratch(spark):
+        archive.write_archive(reads, target, encoding, quality, options.quality_codec, order, chunk, options.fasta, options.level)
 
 
 def decompress(spark: SparkSession, source: str, target: str, compress_text: bool = False, level: int | None = None, single_file: bool = False) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly, clusters, kmers, pairs, reorder
-from ..session import keep
+from ..session import keep, scratch
 
 
 def assemble(reads: DataFrame, k: int = 15, most: int = 24) -> tuple[DataFrame, DataFrame]:
@@ -24,12 +24,13 @@ def assemble(reads: DataFrame, k: int = 15, most: int = 24) -> tuple[DataFrame,
 
 def write_chain(reads: DataFrame, path: str) -> None:
     """Contigs, and one table of reads in the order of their places, so that near reads lie together in every column."""
-    contigs, encoded = assemble(reads)
-    encoded = keep(encoded, "encoded")
-    place = reorder.number(encoded, [F.col("contig_id").asc_nulls_last(), F.col("position"), F.col("read_idx")], "new_pos", ["read_idx"])
-    contigs.write.option("compression", "zstd").parquet(f"{path}/contigs")
-    rows = encoded.join(place, "read_idx").join(reads.select("read_idx", "id", "quality"), "read_idx")
-    rows.repartitionByRange("new_pos").sortWithinPartitions("new_pos").write.option("compression", "zstd").parquet(f"{path}/reads")
+    with scratch(reads.sparkSession):
+        contigs, encoded = assemble(reads)
+        encoded = keep(encoded, "encoded")
+        place = reorder.number(encoded, [F.col("contig_id").asc_nulls_last(), F.col("position"), F.col("read_idx")], "new_pos", ["read_idx"])
+        contigs.write.option("compression", "zstd").parquet(f"{path}/contigs")
+        rows = encoded.join(place, "read_idx").join(reads.select("read_idx", "id", "quality"), "read_idx")
+        rows.repartitionByRange("new_pos").sortWithinPartitions("new_pos").write.option("compression", "zstd").parquet(f"{path}/reads")
 
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:

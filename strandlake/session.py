@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+_scopes: list[list[str]] = []
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage of iterative operators."""
+    """Write to the shared folder and read back: cuts the lineage of iterative operators.
+
+    The table stays until ``discard``, the end of the ``scratch`` block around it, or for good outside of one.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete a table of ``keep`` that no later step reads."""
+    _delete(kept.sparkSession, kept._kept_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are kept within the block are deleted at its end, also after an error."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)

@@ -121,3 +121,17 @@ def test_levels():
 def test_gzip_sink(spark, source, tmp_path):
     fastq.write_fastq(fastq.read_fastq(spark, source), str(tmp_path / "gz"), compress=True, level=9, single_file=True)
     assert gzip.decompress(next((tmp_path / "gz").glob("part-*.gz")).read_bytes()).decode() == text(READS * 20)
+
+
+def test_scratch_tables_vanish(spark):
+    from pathlib import Path
+
+    from strandlake.session import discard, keep, scratch
+
+    with scratch(spark):
+        a, b = (keep(spark.range(5), "t") for _ in range(2))
+        discard(a)
+        assert b.count() == 5 and not Path(a._kept_path.removeprefix("file://")).exists() and Path(b._kept_path.removeprefix("file://")).exists()
+    assert not Path(b._kept_path.removeprefix("file://")).exists()
+    c = keep(spark.range(3), "t")
+    assert c.count() == 3
