@@ -522,7 +522,7 @@ def test_recurrence_learns_order():
         words[at:at] = ["grubby", "snork"] if y[-1] else ["snork", "grubby"]
         texts.append(" ".join(words))
     (train,), (test,) = slices_of(texts[:1000]), slices_of(texts[1000:])
-    model = toxicity.fit([train], [np.array(y[:1000])])
+    model = toxicity.fit([train], [np.array(y[:1000])], steps=1000)
     assert ((model.score(test) >= 0.5) == np.array(y[1000:])).mean() > 0.9
 
 
