@@ -673,8 +673,9 @@ _QUERIES["ql19_quality_codec"] = lambda spark, sf: spark.createDataFrame([(api.c
 _add("ql21_dictionary_sample", "SELECT read_idx, quality FROM reads, (SELECT n // most AS step, most FROM (SELECT count(*) AS n, least(greatest(CAST(ceil(count(*) * 0.1) AS BIGINT), 100), count(*)) AS most FROM reads)) WHERE read_idx % step = 0 AND read_idx < step * most", delta.dictionary_sample)
 _add("ql21_least_sample", "SELECT read_idx, quality FROM reads WHERE read_idx < 100", lambda r: delta.dictionary_sample(r.filter("read_idx < 150")))
 _LETTERS = sorted({ord(c) - 33 for c in "#,5:<>?BDFGHI"})
-_add("ql25_prediction_residual", f"""SELECT read_idx, pos, phred - coalesce(list_min([x for x in [{", ".join(f"struct_pack(c := -c{x}, s := {x})" for x in _LETTERS)}] if x.c < 0]).s, 0) + 128 AS residual
-  FROM (SELECT read_idx, pos, phred, {", ".join(f"count(*) FILTER (phred = {x}) OVER w AS c{x}" for x in _LETTERS)} FROM context WINDOW w AS (PARTITION BY q1, read_idx // 500000 ORDER BY read_idx, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", lambda r: delta.prediction_residual(_contexts(r), ["q1"]), extra=_CONTEXT)
+# the largest count, and of equal ones the smallest score, as one number
+_add("ql25_prediction_residual", f"""SELECT read_idx, pos, CAST(phred - CASE WHEN g < 1000 THEN 0 ELSE 99 - g % 1000 END + 128 AS BIGINT) AS residual FROM (SELECT read_idx, pos, phred, greatest({", ".join(f"1000 * c{x} + {99 - x}" for x in _LETTERS)}) AS g
+  FROM (SELECT read_idx, pos, phred, {", ".join(f"sum(CASE WHEN phred = {x} THEN 1 ELSE 0 END) OVER w - CASE WHEN phred = {x} THEN 1 ELSE 0 END AS c{x}" for x in _LETTERS)} FROM context WINDOW w AS (PARTITION BY q1, read_idx // 500000 ORDER BY read_idx, pos ROWS UNBOUNDED PRECEDING)))""", lambda r: delta.prediction_residual(_contexts(r), ["q1"]), extra=_CONTEXT)
 _AS10 = ", shifted AS (SELECT read_idx, substr(sequence, CAST(read_idx % 3 * 8 + 1 AS INT), 48) AS sequence FROM reads)" + _kmer_cte(15, "shifted") + _LISTS + f""", picked AS (SELECT k.*, k.raw = k.kmer AS forward, s.sequence FROM (SELECT *, {_hash('kmer', 15)} AS hash FROM km) k SEMI JOIN posts USING (hash, read_idx) JOIN shifted s USING (read_idx)),
   few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY read_idx, pos) AS n FROM picked) WHERE n <= 200),
   met AS (SELECT DISTINCT a.read_idx AS a, b.read_idx AS b, a.forward <> b.forward AS is_rc, a.pos - CASE WHEN a.forward <> b.forward THEN 48 - b.pos - 15 ELSE b.pos END AS shift, a.sequence AS x, CASE WHEN a.forward <> b.forward THEN {_rc('b.sequence')} ELSE b.sequence END AS y FROM few a JOIN few b ON a.hash = b.hash AND a.read_idx <> b.read_idx),
