@@ -423,7 +423,9 @@ _COMPONENTS = _EDGES + """, both_ways AS (SELECT a, b FROM edges UNION SELECT b,
   labels AS (SELECT a AS read_idx, min(b) AS label FROM walk GROUP BY a)"""
 _add("gr08_components", "SELECT read_idx, label FROM labels", lambda r: clusters.clusters(r, "selective", 15, 11), mutated=True, extra=_COMPONENTS)
 _SQL["gr08_components"] = _SQL["gr08_components"].replace("WITH reads", "WITH RECURSIVE reads", 1)
-_add("gr08_star_components", None, lambda r: clusters.clusters(r, "all", 15, 11), mutated=True)
+_add("gr08_star_components", "SELECT read_idx, label FROM labels", lambda r: clusters.clusters(r, "all", 15, 11), mutated=True,
+     extra=_EDGES + _COMPONENTS[len(_EDGES) :].replace("FROM edges", "FROM stars").replace(", both_ways", ", stars AS (SELECT DISTINCT low AS a, read_idx AS b FROM posts JOIN (SELECT hash, min(read_idx) AS low FROM posts GROUP BY hash) USING (hash) WHERE low < read_idx), both_ways", 1))
+_SQL["gr08_star_components"] = _SQL["gr08_star_components"].replace("WITH reads", "WITH RECURSIVE reads", 1)
 _add("gr09_component_order", _ORDER.format(keys="label", source="labels"), lambda r: reorder.by_component(r, clusters.clusters(r, "selective", 15, 11), 5000), mutated=True, extra=_COMPONENTS)
 _SQL["gr09_component_order"] = _SQL["gr09_component_order"].replace("WITH reads", "WITH RECURSIVE reads", 1)
 _add("gr10_inverse_order", f"SELECT chunk_id, read_idx AS new_pos, new_pos AS read_idx FROM ({_ORDER.format(keys='g', source='grouped')})", lambda r: reorder.inverse(reorder.center(r, 5000)), extra=_GROUPED)
@@ -474,6 +476,8 @@ for _kind, _k in [("closed", k) for k in (15, 21, 25, 31)] + [("open", k) for k
     _add(f"gr18_{_kind}_{_k}", _ORDER.format(keys=_keys, source="(SELECT r.read_idx, s.hs, s.p FROM reads r LEFT JOIN (SELECT read_idx, list_sort(list(DISTINCT hash)) AS hs, arg_min(pos, struct_pack(h := hash, p := pos)) AS p FROM sy GROUP BY read_idx) s USING (read_idx))"),
          lambda r, n=f"{_kind}:{_k}": reorder.by_strategy(r, n, "sequence", 5000), extra=_found)
 
+_SQL["gr18_sort_closed_syncmer"] = _SQL["gr18_closed_31"]  # one key under two names
+
 # ---- k-mers, graph, mapping ---------------------------------------------------------------------------
 
 _add("as01_choose_k", f"SELECT {_long('sum(length(sequence))')} AS bases, CAST(CASE WHEN sum(length(sequence)) < 5000000 THEN 15 WHEN sum(length(sequence)) < 50000000 THEN 19 WHEN sum(length(sequence)) < 500000000 THEN 23 WHEN sum(length(sequence)) < 2000000000 THEN 27 ELSE 31 END AS BIGINT) AS k FROM reads", kmers.choose_k)
@@ -526,7 +530,10 @@ _add("as15_hybrid_streams", f"""SELECT 'flags' AS stream, m.read_idx, CASE WHEN
   UNION ALL SELECT 'consensus', contig_id, sequence FROM contigs""", None, extra=_MAP + f""", apart AS (SELECT read_idx, x, [j - 1 for j in range(1, 65) if substr(x, j, 1) <> substr(y, j, 1)] AS p FROM (
     SELECT m.read_idx, m.sequence AS x, CASE WHEN b.is_rc THEN {_rc('c.sequence')} ELSE c.sequence END AS y FROM mutated m JOIN best b USING (read_idx) JOIN contigs c ON c.contig_id = b.contig_id))""")
 _QUERIES["as15_hybrid_streams"] = lambda spark, sf: tidy(kmers.hybrid_streams(*_encode(spark, sf)))
-_add("as14_corrected_kmers", None, lambda r: assembly.correct_kmers(kmers.count_kmers(r, 15)), mutated=True)
+_MUTATED_COUNTS = _kmer_cte(15, "mutated") + ", counts AS (SELECT kmer, least(count(*), 65535) AS count FROM km GROUP BY kmer)"
+_add("as14_corrected_kmers", f"""SELECT kmer, corrected FROM (SELECT e.kmer, c.kmer AS corrected, row_number() OVER (PARTITION BY e.kmer ORDER BY c.count DESC, c.kmer) AS n FROM (
+  SELECT kmer, least(raw, {_rc('raw')}) AS other FROM (SELECT kmer, unnest([concat(substr(kmer, 1, 14), base), concat(base, substr(kmer, 2))]) AS raw FROM counts, (VALUES ('A'), ('C'), ('G'), ('T')) t(base) WHERE count < 2) WHERE raw <> kmer) e
+  JOIN counts c ON c.kmer = e.other AND c.count >= 3) WHERE n = 1""", lambda r: assembly.correct_kmers(kmers.count_kmers(r, 15)), mutated=True, extra=_MUTATED_COUNTS)
 _add("as14_templates", None, lambda r: assembly.templates(keep(kmers.count_kmers(r, 15), "counts"), 15, 64))
 
 # ---- entropy and models ---------------------------------------------------------------------------------
