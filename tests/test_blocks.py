@@ -22,3 +22,24 @@ def test_prediction_residual_is_carried_from_part_to_part(spark):
     got = delta.prediction_residual(df, ["c"], block=25, part=4).collect()
     assert {(r.read_idx, r.pos): r.residual for r in got} == want and len(got) == len(rows)
     assert delta.prediction_residual(df.limit(0), ["c"], block=25, part=4).count() == 0
+
+
+def test_halving_cost_takes_contexts_of_a_block_together(spark):
+    from strandlake.operators import entropy
+
+    rng = random.Random(4)
+    rows = [(i, p, rng.choice(["x", "y", None]), rng.randrange(3), rng.choice("ab")) for i in range(80) for p in range(6)]
+    for limit, prior, step, up in ((9, 1, 1, True), (30, 2, 3, False), (10**6, 1, 1, False)):
+        want = 0.0
+        for key in {(i // 30, c, d) for i, p, c, d, s in rows}:
+            counts = dict.fromkeys("abcd", prior)
+            for *_, s in sorted(r for r in rows if (r[0] // 30, r[2], r[3]) == key):
+                want -= np.log2(counts[s] / sum(counts.values()))
+                counts[s] += step
+                if sum(counts.values()) >= limit:
+                    counts = {k: (v + 1) // 2 if up else max(v >> 1, 1) for k, v in counts.items()}
+        df = spark.createDataFrame(rows, "read_idx long, pos int, c string, d int, s string").repartition(5)
+        plan = entropy.halving_cost(df, ["c", "d"], "s", 4, limit, 30, prior, step, up)
+        assert plan.first().n == len(rows) and plan.first().bits == pytest.approx(want)
+        # only packed messages are dealt by block, not rows by block and context
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
