@@ -43,3 +43,11 @@ def test_halving_cost_takes_contexts_of_a_block_together(spark):
         assert plan.first().n == len(rows) and plan.first().bits == pytest.approx(want)
         # only packed messages are dealt by block, not rows by block and context
         assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_base_above_skips_shorter_reads(spark):
+    from strandlake.operators import consensus
+
+    rows = [(0, "ACGT"), (1, "TT"), (2, "GGGGG"), (3, ""), (10, "CA"), (11, "TTT")]
+    got = {r.read_idx: r.up for r in consensus.above(spark.createDataFrame(rows, "read_idx long, sequence string").repartition(3), 10).collect()}
+    assert got == {0: "SSSS", 1: "AC", 2: "TTGTS", 10: "SS", 11: "CAS"}
