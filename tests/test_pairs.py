@@ -15,3 +15,23 @@ def test_match_candidates_meet_every_read_of_a_window(spark):
     found = {(r.a, r.b, r.is_rc, r["shift"], r.distance) for r in got.filter("a in (0, 5000) or b in (0, 5000)").collect()}
     assert found == {(0, 5000, False, 0, 0)}
     assert got.filter("b = 1199 and not is_rc and shift = 0").count() == 1198
+
+
+def test_rolling_consensus_streams_over_slices(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([7, 8, 9]) if i % 3 else 1, "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 9, 700])))) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "read_idx long, chain long, sequence string")
+    got = {r.read_idx: (r.consensus, r.distance) for r in pairs.rolling_consensus(df.select("read_idx", "sequence"), df.selectExpr("chain", "read_idx as rank", "read_idx")).collect()}
+    counts, want = {}, {}
+    for i, chain, text in sorted(rows):
+        top = ""
+        for p, c in enumerate(text):
+            n = counts.setdefault((chain, p), dict.fromkeys("ACTG", 0))
+            if c in n:
+                n[c] += 1
+            top += max(n, key=n.get)
+        want[i] = (top, sum(a != b for a, b in zip(text, top)))
+    assert got == want
+    plan = pairs.rolling_consensus(df.select("read_idx", "sequence"), df.selectExpr("chain", "read_idx as rank", "read_idx"))
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
