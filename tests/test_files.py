@@ -135,3 +135,30 @@ def test_scratch_tables_vanish(spark):
     assert not Path(b._kept_path.removeprefix("file://")).exists()
     c = keep(spark.range(3), "t")
     assert c.count() == 3
+
+
+def test_archive_files_follow_bytes_not_chunks(spark, tmp_path):
+    """Many chunks behind a shuffle make no file for each chunk and task, and each chunk's reads stand together."""
+    from pyspark.sql import functions as F
+
+    from strandlake.sources import archive
+
+    rows = [(i, f"@r{i}", "ACGTN"[i % 5 :] + "ACGTACGTTGCA"[: i % 12], chr(35 + i % 40) * ((5 - i % 5) + min(i % 12, 12))) for i in range(600)]
+    reads = spark.createDataFrame(rows, "read_idx long, id string, sequence string, quality string").repartition(4)
+    for n, options in enumerate(({"encoding": "ordered"}, {"quality_codec": "delta"}, {"quality_codec": "model"})):
+        path = f"{tmp_path}/a{n}"
+        archive.write_archive(reads, path, chunk=10, **options)
+        assert len(spark.read.parquet(f"{path}/streams").inputFiles()) <= 8  # 60 chunks
+        assert sorted(tuple(r) for r in archive.read_archive(spark, path).collect()) == rows
+    files = spark.read.parquet(f"{tmp_path}/a0/streams").select("chunk_id", F.input_file_name().alias("file")).distinct().groupBy("chunk_id").agg(F.count("*").alias("n"))
+    assert files.filter("n > 1").isEmpty()
+
+
+def test_archive_of_odd_qualities(spark, tmp_path):
+    from strandlake.sources import archive
+
+    rows = [(0, "@a", "ACG", "II#"), (1, "@b", "A", None), (2, "@c", "", ""), (3, "@d", "ACGTACGT", "~!~!~!~!"), (4, "@e", "AC", "!~")]
+    reads = spark.createDataFrame(rows, "read_idx long, id string, sequence string, quality string")
+    for codec in ("plain", "delta", "model"):
+        archive.write_archive(reads.filter("read_idx <> 1"), f"{tmp_path}/{codec}", quality_codec=codec)
+        assert sorted(tuple(r) for r in archive.read_archive(spark, f"{tmp_path}/{codec}").collect()) == [r for r in rows if r[0] != 1]
