@@ -35,3 +35,44 @@ def test_rolling_consensus_streams_over_slices(spark):
     assert got == want
     plan = pairs.rolling_consensus(df.select("read_idx", "sequence"), df.selectExpr("chain", "read_idx as rank", "read_idx"))
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantized_reads_of_odd_lengths(spark):
+    """Columns at once give what one read after another gives, also for unknown outputs, long scores and no quality."""
+    import numpy as np
+    import pandas as pd
+
+    book = pd.DataFrame(
+        [(0, 0, 0.3, [2, 2, 5, 9], [1, 4, 4, 7, 8]), (1, 2, 0.5, [3, 3, 6], [2, 6, 6]), (1, 6, 0.1, [1, 7, 7], [0, 5, 9]), (2, 4, 0.9, [0, 1], [1, 0])],
+        columns=["pos", "before", "ratio", "low_values", "high_values"],
+    )
+    texts = {5: "!#%", 6: None, 7: "", 8: "$$$$$$$$", 9: "~~", 10: "é%"}
+    table = {}
+    for r in book.itertuples():
+        table.setdefault(r.pos, []).append(r)
+
+    def one(i, quality):
+        draw, before, out = np.random.default_rng([1, i]).random(len(quality)), 0, ""
+        for pos, c in enumerate(quality):
+            e = min(table[min(pos, 2)], key=lambda e: (abs(e.before - before), e.before))
+            values = e.high_values if draw[pos] < e.ratio else e.low_values
+            before = values[min(ord(c) - 33, len(values) - 1)]
+            out += chr(33 + before)
+        return out
+
+    reads = spark.createDataFrame(list(texts.items()), "read_idx long, quality string")
+    got = {r.read_idx: r.quality for r in pairs.quantize_reads(reads, book).collect()}
+    assert got == {i: None if t is None else one(i, t) for i, t in texts.items()}
+
+
+def test_quantizer_of_all_scores_is_quick():
+    import time
+
+    import numpy as np
+
+    p = np.arange(1.0, 43) / np.arange(1.0, 43).sum()
+    start = time.monotonic()
+    for states in (2, 5, 9):
+        values, loss = pairs._quantizer(p, states)
+        assert len(set(values.tolist())) <= states and np.isclose(loss, (p * (np.arange(42) - values) ** 2).sum())
+    assert time.monotonic() - start < 0.1
