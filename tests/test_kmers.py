@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions import sequence as S
 from strandlake.operators import assembly, kmers
 
 
@@ -21,11 +22,31 @@ def sequences(spark):
     return spark.createDataFrame(rows, "read_idx long, sequence string").repartition(3)
 
 
+def as_texts(reads, k, step=1):
+    rc = S.reverse_complement("kmer")
+    rows = kmers.explode_kmers(reads.withColumn("sequence", F.upper("sequence")), k, step)
+    return rows.select("read_idx", "pos", F.least("kmer", rc).alias("kmer"), (F.col("kmer") <= rc).alias("is_forward"))
+
+
+@pytest.mark.parametrize("k, step", [(1, 1), (4, 3), (15, 2), (31, 1)])
+def test_canonical_kmers_as_numbers(sequences, k, step, monkeypatch):
+    monkeypatch.setattr(kmers, "SPAN", 64)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(kmers.canonical_kmers(sequences, k, step)) == rows(as_texts(sequences, k, step))
+
+
+def test_hamming_of_arrays(spark):
+    pairs = [("ACGT", "ACGA"), ("", "A"), (None, "A"), ("AC", None), ("ACGTT", "TCG"), ("AAAA", "TTTT")]
+    count = lambda rows: [r.d for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(S.hamming_within("a", "b", 3).alias("d")).collect()]
+    assert count(pairs) == [1, 0, None, None, 1, None]
+    assert count([("é%", "e%"), ("ACG", "TCG"), (None, "A")]) == [1, 1, None]
+
+
 @pytest.mark.parametrize("k", [1, 4, 5, 15, 16, 17, 31])
 def test_counts_as_numbers(sequences, k, monkeypatch):
     monkeypatch.setattr(kmers, "HELD", 50)
     got = {r["kmer"]: r["count"] for r in kmers.count_kmers(sequences, k).collect()}
-    want = kmers.canonical_kmers(sequences, k).groupBy("kmer").agg(F.count("*").alias("n")).collect()
+    want = as_texts(sequences, k).groupBy("kmer").agg(F.count("*").alias("n")).collect()
     assert got == {r["kmer"]: r["n"] for r in want}
 
 
