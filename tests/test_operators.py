@@ -242,3 +242,35 @@ def test_gzip_levels_differ(spark, tmp_path):
         fastq.write_fastq(df, str(tmp_path / str(level)), compress=True, level=level, single_file=True)
         sizes.append(sum(f.stat().st_size for f in (tmp_path / str(level)).glob("part-*")))
     assert len(set(sizes)) >= 3 and sizes == sorted(sizes, reverse=True)
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + r.randrange(9), 1000 + i) for i in range(500)] + [(-5, 1 << 62), (7000, 7000)]
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            changed |= (label[a], label[b]) != (low, low)
+            label[a] = label[b] = low
+    for last in (1 << 20, 20):  # joined in one task from the second round on, and round by round
+        clusters.LAST_EDGES, before = last, clusters.LAST_EDGES
+        try:
+            got = {x.read_idx: x.label for x in clusters.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        finally:
+            clusters.LAST_EDGES = before
+        assert got == label
+
+
+def test_hubs_leave_no_edges_for_copies(spark):
+    from strandlake.operators.kmers import minimizer_postings
+
+    r = random.Random(9)
+    a, b = ("".join(r.choice("ACGT") for _ in range(60)) for _ in range(2))
+    reads = spark.createDataFrame([(i, a if i % 2 else b) for i in range(400)] + [(400, a[:40] + b[:40]), (401, "ACGTTGCA" * 2)], "read_idx long, sequence string")
+    hubs = {x.read_idx: sorted(x.hubs) for x in clusters.hubs(minimizer_postings(reads, 15, 11)).collect()}
+    assert hubs == {**{i: [i % 2] for i in range(400)}, 400: [0, 1]}
+    got = {x.read_idx: x.label for x in clusters.clusters(reads, "all", 15, 11).collect()}
+    assert got == {**dict.fromkeys(range(401), 0), 401: 401}
