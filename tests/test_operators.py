@@ -274,3 +274,59 @@ def test_hubs_leave_no_edges_for_copies(spark):
     assert hubs == {**{i: [i % 2] for i in range(400)}, 400: [0, 1]}
     got = {x.read_idx: x.label for x in clusters.clusters(reads, "all", 15, 11).collect()}
     assert got == {**dict.fromkeys(range(401), 0), 401: 401}
+
+
+def brute_contigs(seqs, least, most, k, w):
+    """Greedy contigs of one component, read by read over texts."""
+    end, lists, unused, out = len(next(iter(seqs.values()))), {}, dict.fromkeys(seqs), []
+    flip = lambda s: s.translate(FLIP)[::-1]
+    for i, s in seqs.items():
+        for kmer, pos, forward in assembly._minimizers(s, k, w):
+            lists.setdefault(kmer, []).append((i, pos, forward))
+    for seed in seqs:
+        if seed not in unused:
+            continue
+        del unused[seed]
+        contig, members = seqs[seed], [seed]
+        for right in (True, False):
+            while True:
+                found, region = None, contig[-end:] if right else contig[:end]
+                for kmer, pos, forward in assembly._minimizers(region, k, w):
+                    for i, at, same in reversed(lists.get(kmer, [])):
+                        read = seqs[i] if same == forward else flip(seqs[i])
+                        start = (len(contig) - len(region) if right else 0) + pos - (at if same == forward else len(read) - at - k)
+                        overlap = len(contig) - start if right else len(read) + start
+                        fits = start >= 0 and overlap < len(read) if right else start < 0 and overlap <= len(contig)
+                        if i not in unused or not fits or overlap < least:
+                            continue
+                        d = sum(x != y for x, y in zip(contig[start:] if right else contig, read[:overlap] if right else read[-start:]))
+                        if d <= most and (found is None or d < found[0]):
+                            found = (d, i, read, len(read) - overlap)
+                if not found:
+                    break
+                contig = contig + found[2][-found[3] :] if right else found[2][: found[3]] + contig
+                members.append(found[1])
+                del unused[found[1]]
+        out.append((seed, contig, sorted(members)))
+    return out
+
+
+def test_greedy_contigs_stream_by_component(spark):
+    r = random.Random(10)
+    rows = []
+    for label in range(0, 300, 30):
+        genome = "".join(r.choice("ACGT") for _ in range(150))
+        for i in range(r.choice([1, 4, 29])):
+            at, n = r.randrange(100), r.choice([44, 44, 44, 50])
+            s = list(genome[at : at + n])
+            if r.random() < 0.4:
+                s[r.randrange(len(s))] = r.choice("ACGTNa")
+            s = "".join(s)
+            rows.append((label + i, s.upper().translate(FLIP)[::-1] if r.random() < 0.3 else s, label))
+    df = spark.createDataFrame(rows, "read_idx long, sequence string, label long")
+    want = []
+    for label in range(0, 300, 30):
+        want += brute_contigs({i: s.upper() for i, s, at in rows if at == label}, 25, 4, 11, 5)
+    contigs = assembly.greedy_contigs(df.drop("label"), df.select("read_idx", "label"), least=25, k=11, w=5)
+    assert sorted((x.contig_id, x.sequence, x.reads) for x in contigs.collect()) == sorted(want) and max(len(m) for _, _, m in want) > 5
+    assert "FlatMapGroups" not in contigs._jdf.queryExecution().toString()  # no Python call per component
