@@ -330,3 +330,32 @@ def test_greedy_contigs_stream_by_component(spark):
     contigs = assembly.greedy_contigs(df.drop("label"), df.select("read_idx", "label"), least=25, k=11, w=5)
     assert sorted((x.contig_id, x.sequence, x.reads) for x in contigs.collect()) == sorted(want) and max(len(m) for _, _, m in want) > 5
     assert "FlatMapGroups" not in contigs._jdf.queryExecution().toString()  # no Python call per component
+
+
+def test_packed_paths_are_best_steps(spark):
+    k = 9
+    counts = genome_counts(spark, k)
+    code = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
+    best = {code(x.node): code(x.next) for x in assembly.best_steps(counts, k).collect()}
+    every, long_ = ({x.node: x.path for x in t.collect()} for t in assembly.paths(counts, k))
+    assert set(every) == set(best) and set(long_) <= set(best)
+    for table in (every, long_):
+        for node, path in table.items():
+            assert 4 <= path < 1 << 63
+            for i in range((path.bit_length() - 1) // 2 - 1, -1, -1):
+                node = best[node]
+                assert node & 3 == (path >> (2 * i)) & 3
+            assert node in long_ or node not in best  # a walk goes on where a path ends
+    assert sum(p.bit_length() for p in long_.values()) > 16 * len(long_)
+    assert all(assembly._mirror(code(s), k) == code(s.translate(FLIP)[::-1]) for s in ("ACGTTGCAA", "TTTTTTTTT", "GATTACAGA"))
+
+
+def test_templates_in_batches(spark, monkeypatch):
+    counts = genome_counts(spark, 9)
+    take = lambda **o: sorted((x.contig_id, x.sequence) for x in assembly.templates(counts, 9, 14, reach=12, **o).collect())
+    whole = take()
+    monkeypatch.setattr(assembly, "BATCH", 5)
+    assert take() == whole and len(whole) > 10
+    begun, walk = [], assembly._both_ways
+    monkeypatch.setattr(assembly, "_both_ways", lambda *a: begun.append(1) or walk(*a))
+    assert take(most=1) == whole[:1] and len(begun) == 1  # no later seed walks
