@@ -51,3 +51,47 @@ def test_base_above_skips_shorter_reads(spark):
     rows = [(0, "ACGT"), (1, "TT"), (2, "GGGGG"), (3, ""), (10, "CA"), (11, "TTT")]
     got = {r.read_idx: r.up for r in consensus.above(spark.createDataFrame(rows, "read_idx long, sequence string").repartition(3), 10).collect()}
     assert got == {0: "SSSS", 1: "AC", 2: "TTGTS", 10: "SS", 11: "CAS"}
+
+
+def _mod4(rows):
+    """Steps and bases by read and place, column by column."""
+    before, steps = {}, []
+    for i, text in rows:
+        steps.append("".join(str(("ACGT".index(c) - before.get(p, 0)) % 4) if c in "ACGT" else "N" for p, c in enumerate(text)))
+        before.update((p, "ACGT".index(c)) for p, c in enumerate(text) if c in "ACGT")
+    return steps
+
+
+def test_mod4_steps_are_carried_from_block_to_block(spark):
+    from strandlake.operators import consensus
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ACGTACGTNx") for _ in range(rng.choice([0, 1, 3, 9, 300 if i % 50 == 0 else 5])))) for i in range(-20, 150) if not 40 <= i < 63]
+    rows += [(7, "ACG"), (7, "ACG"), (7, "TTTTT"), (30, "NN"), (500, "NNN"), (None, "CC"), (None, "G")]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, "".join(c if c in "ACGT" else "N" for c in r[1])))
+    want = _mod4(rows)
+    mixed = rng.sample(rows, len(rows))
+    reads = spark.createDataFrame(mixed, "read_idx long, sequence string").repartition(5)
+    for block in (8, 64, 16384):
+        steps = consensus.mod4_delta(reads, block)
+        key = lambda r: (r.read_idx is not None, r.read_idx or 0, r.place)
+        assert [(r.read_idx, r.steps) for r in sorted(steps.collect(), key=key)] == [(i, s) for (i, _), s in zip(rows, want)]
+        back = sorted(consensus.mod4_undelta(steps.repartition(3), block).collect(), key=key)
+        assert [(r.read_idx, r.sequence) for r in back] == [(i, "".join(c if c in "ACGT" else "N" for c in s)) for i, s in rows]
+    assert consensus.mod4_undelta(consensus.mod4_delta(reads.limit(0))).count() == 0
+
+
+def test_mod4_queries_shuffle_reads_not_bases(spark, sf_dir):
+    from strandlake.plans import registry
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    for name in ("mx05_mod4_delta", "mx05_mod4_undelta"):
+        before = written()
+        df = registry.queries()[name](spark, sf_dir)
+        df.write.format("noop").mode("overwrite").save()
+        # a row per base would be 90,000 records
+        assert 0 < written() - before < 3000 < df.count() / 20
