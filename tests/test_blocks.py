@@ -81,7 +81,24 @@ def test_mod4_steps_are_carried_from_block_to_block(spark):
     assert consensus.mod4_undelta(consensus.mod4_delta(reads.limit(0))).count() == 0
 
 
-def test_mod4_queries_shuffle_reads_not_bases(spark, sf_dir):
+def test_previous_bases_are_carried_from_block_to_block(spark):
+    from strandlake.operators import consensus
+
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGTNéx😀" if i > 60 else "ACGN") for _ in range(rng.choice([0, 1, 4, 9, 300 if i % 50 == 0 else 5])))) for i in range(-20, 150) if not 40 <= i < 63]
+    rows += [(7, "ACG"), (7, "ACG"), (None, "CC"), (None, "CG")]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    before, want = {}, []
+    for i, text in rows:
+        want.append((i, "".join("0" if before.get(p) == c else c for p, c in enumerate(text))))
+        before.update(enumerate(text))
+    reads = spark.createDataFrame(rng.sample(rows, len(rows)), "read_idx long, sequence string").repartition(5)
+    for block in (8, 16384):
+        got = consensus.previous_base_delta(reads, block).collect()
+        assert [(r.read_idx, r.deltas) for r in sorted(got, key=lambda r: (r.read_idx is not None, r.read_idx or 0, r.place))] == want
+
+
+def test_column_deltas_shuffle_reads_not_bases(spark, sf_dir):
     from strandlake.plans import registry
 
     def written():
@@ -89,7 +106,7 @@ def test_mod4_queries_shuffle_reads_not_bases(spark, sf_dir):
         stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
-    for name in ("mx05_mod4_delta", "mx05_mod4_undelta"):
+    for name in ("mx05_mod4_delta", "mx05_mod4_undelta", "mx06_previous_base_delta"):
         before = written()
         df = registry.queries()[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
